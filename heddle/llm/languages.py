@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 # fixed values: frequent words of three languages
 FREQUENT = {
@@ -12,14 +13,23 @@ FREQUENT = {
 }
 _WORDS = {w: lang for lang, ws in FREQUENT.items() for w in ws if sum(w in o for o in FREQUENT.values()) == 1}
 _TOKEN = re.compile(r"[a-zà-ÿœ]+")
-_THAI, _KANA, _HAN, _LATIN = (re.compile(p) for p in ("[ก-๛]", "[ぁ-ヿ]", "[一-鿿]", "[A-Za-zÀ-ÿ]"))
+_THAI, _KANA, _HAN, _LATIN = (re.compile(p) for p in ("[ก-๛]+", "[ぁ-ヿ]+", "[一-鿿]+", "[A-Za-zÀ-ÿ]+"))
+
+
+def _amount(run: re.Pattern, text: str) -> int:
+    return sum(map(len, run.findall(text)))
 
 
 def detect(text: str | None, label: str | None = None) -> str | None:
     """th, ja, zh, en, fr or de; where the text does not tell, the label as it is."""
     if not text:
         return label
-    thai, kana, han, latin = (len(p.findall(text)) for p in (_THAI, _KANA, _HAN, _LATIN))
+    plain = text.isascii()
+    thai = 0 if plain else _amount(_THAI, text)
+    if thai * 2 > len(text):
+        return "th"
+    kana, han = (0, 0) if plain else (_amount(_KANA, text), _amount(_HAN, text))
+    latin = _amount(_LATIN, text)
     most = max(thai, 2 * (kana + han), latin / 2)
     if most == 0:
         return label
@@ -27,9 +37,7 @@ def detect(text: str | None, label: str | None = None) -> str | None:
         return "th"
     if most == 2 * (kana + han):
         return "ja" if kana * 10 > han else "zh"
-    votes = {"en": 0, "fr": 0, "de": 0}
-    for w in _TOKEN.findall(text.lower()):
-        if w in _WORDS:
-            votes[_WORDS[w]] += 1
-    best = max(votes, key=votes.get)
-    return best if votes[best] > 0 and sum(v == votes[best] for v in votes.values()) == 1 else label
+    votes = Counter(_WORDS[w] for w in _TOKEN.findall(text.lower()) if w in _WORDS).most_common(2)
+    if not votes or len(votes) == 2 and votes[0][1] == votes[1][1]:
+        return label
+    return votes[0][0]
