@@ -29,6 +29,8 @@ the section_title is text. Texts not broken into lines can only be misread.
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,10 +191,13 @@ def _cells(sums: np.ndarray) -> np.ndarray:
 
 
 def _word_cell(word: str) -> int:
-    h = 1469598103934665603
-    for c in word:
-        h = ((h ^ ord(c)) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-    return CELLS + (h >> 44)
+    return CELLS + (zlib.crc32(word.encode("utf-8", "surrogatepass")) & (WORDS - 1))
+
+
+def _whole(codes: np.ndarray) -> np.ndarray:
+    """Which pieces lie within one line."""
+    breaks = np.cumsum(np.concatenate([[0], codes == 10]))
+    return breaks[GRAM:] == breaks[:-GRAM]
 
 
 def gram_table(chunks: DataFrame) -> np.ndarray:
@@ -201,12 +206,11 @@ def gram_table(chunks: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(CELLS + WORDS, np.int64)
         for b in batches:
-            for t in b.text:
-                codes = _codes(t)
+            for lo in range(0, len(b), 500):
+                codes = _codes("\n".join(b.text.iloc[lo : lo + 500]))
                 if len(codes) >= GRAM:
-                    inside = np.convolve(codes == 10, np.ones(GRAM, int), "valid") == 0
-                    np.add.at(total, _cells(_sums(codes)[inside]), 1)
-            words = pd.Series([w.lower() for t in b.text for w in _WORD.findall(t)], dtype=object).value_counts()
+                    total[:CELLS] += np.bincount(_cells(_sums(codes)[_whole(codes)]), minlength=CELLS)
+            words = Counter(w for t in b.text for w in _WORD.findall(t.lower()))
             for w, n in words.items():
                 total[_word_cell(w)] += n
         cells = np.flatnonzero(total)
@@ -224,84 +228,105 @@ def gram_table(chunks: DataFrame) -> np.ndarray:
 # --- misread characters ---------------------------------------------------------------------------------------------
 
 _SINGLE = [(ord(a), ord(b)) for a, b in CONFUSED]
+_CONSONANT = np.zeros(0x110000, bool)
+_CONSONANT[[c for c in range(0xE01, 0xE3B) if chr(c) not in "ฯะาำ"]] = True
 
 
-def _better(old: np.ndarray, new: np.ndarray) -> bool:
-    """Whether counts of pieces before and after an edit say that it was needed: rows are pieces around it."""
-    if len(old) < 2 or (new < old).any():
-        return False
-    gain = np.log((new + 0.5) / (old + 0.5))
-    return bool(gain.mean() >= 2.2 and (gain >= 2.0).sum() >= max(2, 0.6 * len(old)) and np.median(new) >= 8)
+def _better(old: np.ndarray, new: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows are places, columns the pieces around them (there: which exist): whether an edit was needed, and its gain.
+
+    No piece may become rarer, the usual one must become at least nine times as
+    frequent, and most of them seven times.
+    """
+    n = there.sum(axis=1)
+    gain = np.where(there, np.log((new + 0.5) / (old + 0.5)), 0.0)
+    mean = gain.sum(axis=1) / np.maximum(n, 1)
+    often = (there & (new >= 8)).sum(axis=1)
+    good = (n >= 2) & ~(there & (new < old)).any(axis=1) & (mean >= 2.2) & ((gain >= 2.0).sum(axis=1) >= np.maximum(2, 0.6 * n)) & (2 * often >= n)
+    return good, mean
 
 
-def misreadings(line: str, counts: np.ndarray) -> list[tuple[int, int, str]]:
-    """Edits (start, end, replacement) that common confusions and the corpus suggest."""
-    codes = _codes(line)
+def misreadings(text: str, counts: np.ndarray) -> list[tuple[int, int, str]]:
+    """Edits (start, end, replacement) that common confusions and the corpus suggest; all lines of ``text`` at once."""
+    codes = _codes(text)
     sums = _sums(codes)
     n = len(sums)
     if n < 2:
         return []
-    have = counts[_cells(sums)]
-    out: list[tuple[int, int, str]] = []
-    # single characters: all places of a confusion at once
-    best: dict[int, tuple[float, int]] = {}
-    for a, b in _SINGLE:
-        at = np.flatnonzero(codes == a)
-        if not len(at):
-            continue
-        delta = np.uint64((b - a) & 0xFFFFFFFFFFFFFFFF)
-        k = np.arange(GRAM)
-        start = at[:, None] - k[None, :]
-        ok = (start >= 0) & (start < n)
-        where = np.clip(start, 0, n - 1)
-        old = have[where]
-        # places that the corpus knows well as they are need no look
-        doubt = (np.where(ok, old, 0).max(axis=1) <= 0.1 * np.median(have) + 20) | (np.where(ok, old, 0).min(axis=1) <= 3)
-        if not doubt.any():
-            continue
-        start, ok, where, old, at = start[doubt], ok[doubt], where[doubt], old[doubt], at[doubt]
-        new = counts[_cells(sums[where] + delta * _POWERS[k][None, :])]
-        for i in range(len(at)):
-            o, w = old[i][ok[i]], new[i][ok[i]]
-            if _better(o, w):
-                gain = float(np.log((w + 0.5) / (o + 0.5)).mean())
-                if gain > best.get(int(at[i]), (0.0, 0))[0]:
-                    best[int(at[i])] = (gain, b)
-    out += [(i, i + 1, chr(b)) for i, (_, b) in best.items()]
+    whole = _whole(codes)
+    have = np.where(whole, counts[_cells(sums)], 0)
+    usual = float(np.median(have[whole])) if whole.any() else 0.0
+    rare = whole & (have <= max(3.0, 0.1 * usual))
+    k = np.arange(GRAM)
+    # per character: pieces that hold it, and how many of them are rare
+    run = np.concatenate([np.zeros(GRAM, np.int64), np.cumsum(rare), np.full(GRAM, rare.sum())])
+    held = np.concatenate([np.zeros(GRAM, np.int64), np.cumsum(whole), np.full(GRAM, whole.sum())])
+    at_char = np.arange(len(codes))
+    n_rare = run[at_char + GRAM] - run[at_char]
+    n_held = held[at_char + GRAM] - held[at_char]
+    doubtful = (n_rare >= 2) & (n_rare >= 0.6 * n_held)
+    places = np.flatnonzero(doubtful)
+    best: dict[int, tuple[float, str]] = {}
+    if len(places):
+        signs = codes[places]
+        for a, b in _SINGLE:
+            at = places[signs == a]
+            if not len(at):
+                continue
+            start = at[:, None] - k[None, :]
+            where = np.clip(start, 0, n - 1)
+            there = (start >= 0) & (start < n) & whole[where]
+            delta = np.uint64((b - a) & 0xFFFFFFFFFFFFFFFF)
+            new = counts[_cells(sums[where] + delta * _POWERS[k][None, :])]
+            good, gain = _better(have[where], new, there)
+            for i, g in zip(at[good].tolist(), gain[good].tolist()):
+                if g > best.get(i, (0.0, ""))[0]:
+                    best[i] = (g, chr(b))
+    out = [(i, i + 1, made) for i, (_, made) in best.items()]
     taken = set(best)
-
-    def attempt(i: int, j: int, made: str) -> bool:
-        """Replace line[i:j]; compares the pieces that hold any of it."""
-        lo, hi = max(0, i - GRAM + 1), min(len(line), j + GRAM - 1)
-        before, after = line[lo:hi], line[lo:i] + made + line[j:hi]
-        o, w = counts[_cells(_sums(_codes(before)))], counts[_cells(_sums(_codes(after)))]
-        m = min(len(o), len(w))
-        if m < 2:
-            return False
-        o, w = np.sort(o)[:m], np.sort(w)[:m]
-        return _better(o, w)
-
-    rare = have <= max(3.0, 0.02 * float(np.median(have)))
-    if rare.any():
-        for seen, made in WIDER:
-            for m in re.finditer(re.escape(seen), line):
-                i, j = m.span()
-                if not taken & set(range(i, j)) and rare[max(0, i - GRAM + 1) : j].sum() >= 2 and attempt(i, j, made):
-                    out.append((i, j, made))
-                    taken.update(range(i, j))
-        # marks that were not read: after a Thai consonant or vowel sign
-        spans = np.convolve(rare, np.ones(3, int), "same") >= 2
-        for i in range(1, len(line)):
-            c = line[i - 1]
-            if "ก" <= c <= "ู" and c not in "ฯะาำ" and i - 1 not in taken and spans[max(0, i - GRAM) : i].any():
-                for mark in DROPPED:
-                    if (i >= len(line) or line[i] != mark) and attempt(i, i, mark):
-                        out.append((i, i, mark))
-                        taken.add(i - 1)
-                        break
+    # marks that were not read: between a Thai consonant and what follows, where the pieces across are rare
+    gaps = np.arange(1, len(codes))
+    across = run[gaps + GRAM - 1] - run[gaps]
+    n_across = held[gaps + GRAM - 1] - held[gaps]
+    gaps = gaps[(across >= 1) & (across >= 0.7 * n_across) & _CONSONANT[codes[:-1].astype(np.int64)]]
+    gaps = gaps[(gaps >= GRAM) & (gaps + GRAM <= len(codes))] if len(gaps) else gaps
+    if len(gaps):
+        start = gaps[:, None] - np.arange(1, GRAM)[None, :]
+        there = whole[start]
+        old = have[start]
+        left = codes[gaps[:, None] + np.arange(-GRAM + 1, 0)[None, :]]
+        right = codes[gaps[:, None] + np.arange(0, GRAM - 1)[None, :]]
+        for mark in DROPPED:
+            around = np.concatenate([left, np.full((len(gaps), 1), ord(mark), np.uint64), right], axis=1)
+            pieces = np.stack([counts[_cells((around[:, j : j + GRAM] * _POWERS[None, :]).sum(axis=1))] for j in range(1, GRAM)], axis=1)
+            # pieces j..j+GRAM of the edited text stand for those that crossed the gap, from the left
+            good, gain = _better(old[:, ::-1], pieces, there[:, ::-1])
+            for i, g in zip(gaps[good].tolist(), gain[good].tolist()):
+                if i - 1 not in taken and i not in taken:
+                    out.append((i, i, mark))
+                    taken.add(i - 1)
+    for seen, made in WIDER:
+        at = text.find(seen)
+        while at >= 0:
+            i, j = at, at + len(seen)
+            if doubtful[i:j].any() and not taken & set(range(i, j)) and _attempt(text, i, j, made, counts):
+                out.append((i, j, made))
+                taken.update(range(i, j))
+            at = text.find(seen, at + 1)
     return sorted(out)
 
 
+def _attempt(text: str, i: int, j: int, made: str, counts: np.ndarray) -> bool:
+    """Whether text[i:j] should read ``made``, by the pieces of its line that hold any of it."""
+    lo = max(i - GRAM + 1, text.rfind("\n", 0, i) + 1)
+    hi = j + GRAM - 1
+    stop = text.find("\n", j, hi)
+    hi = min(hi if stop < 0 else stop, len(text))
+    old, new = (np.sort(counts[_cells(_sums(_codes(t)))]) for t in (text[lo:hi], text[lo:i] + made + text[j:hi]))
+    m = min(len(old), len(new))
+    return m >= 2 and bool(_better(old[None, :m], new[None, :m], np.ones((1, m), bool))[0][0])
+
+
 # --- decisions ------------------------------------------------------------------------------------------------------
 
 
@@ -358,20 +383,33 @@ def line_faults(text: str, pages: list[int] | None, heads: dict[int, str], secti
     for i, j in zip(body, body[1:]):
         if CUT.search(lines[i]) and is_cut(lines[i], lines[j], counts):
             faults.setdefault(i + 1, set()).add("cut")
-    if len(lines) >= 3 or pages:
-        for i in body:
-            if misreadings(lines[i], counts):
-                faults.setdefault(i + 1, set()).add("misread")
     return faults
 
 
+def misread_lines(texts: list[str], faults: list[dict[int, set[str]]], counts: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int, str]]]:
+    """Edits by (text, line number) for all lines that are not furniture; edits count from the line's start."""
+    owner, lines = [], []
+    for t, (text, found) in enumerate(zip(texts, faults)):
+        for i, x in enumerate(text.split("\n"), 1):
+            if x.strip() and "furniture" not in found.get(i, ()):
+                owner.append((t, i))
+                lines.append(x)
+    starts = np.cumsum([0] + [len(x) + 1 for x in lines])
+    out: dict[tuple[int, int], list[tuple[int, int, str]]] = {}
+    edits = misreadings("\n".join(lines), counts)
+    at = np.searchsorted(starts, [e[0] for e in edits], side="right") - 1
+    for k, (a, b, made) in zip(at.tolist(), edits):
+        out.setdefault(owner[k], []).append((a - int(starts[k]), b - int(starts[k]), made))
+    return out
+
+
 def _close(a: str, b: str) -> bool:
     """At least four fifths of the pairs of neighbouring letters agree."""
     x, y = ({s[i : i + 2] for i in range(len(s) - 1)} for s in (a, b))
     return len(x & y) >= 0.75 * max(1, min(len(x), len(y)))
 
 
-def repair(text: str, faults: dict[int, set[str]], counts: np.ndarray) -> str:
+def repair(text: str, faults: dict[int, set[str]], edits: dict[int, list[tuple[int, int, str]]]) -> str:
     """Paragraphs, a line each: furniture dropped, cut words joined, misreadings undone."""
     out: list[str] = []
     fresh = True
@@ -382,9 +420,8 @@ def repair(text: str, faults: dict[int, set[str]], counts: np.ndarray) -> str:
         if not x.strip():
             fresh = True
             continue
-        if "misread" in kinds:
-            for a, b, made in reversed(misreadings(x, counts)):
-                x = x[:a] + made + x[b:]
+        for a, b, made in reversed(edits.get(i, [])):
+            x = x[:a] + made + x[b:]
         glue = "cut" in kinds
         x = CUT.sub("", x) if glue else x.rstrip()
         if fresh or not out:
@@ -413,16 +450,25 @@ def page_faults(chunks: DataFrame, repaired: bool = False) -> DataFrame:
     schema = "chunk_id string, repaired string" if repaired else "chunk_id string, line_no int, fault string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for cid, title, section, pages, text, heads_ in zip(b.chunk_id, b.title, b.section_title, b.pages, b.text, b.heads):
-                known = {h["line_no"]: h["key"] for h in heads_} if heads_ is not None else {}
-                faults = line_faults(text, _pages(pages), known, section, title, counts)
-                if repaired:
-                    out.append((cid, repair(text, faults, counts)))
-                else:
-                    out += [(cid, i, f) for i, fs in faults.items() for f in sorted(fs)]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+        for whole in batches:
+            for lo in range(0, len(whole), 200):
+                yield decide(whole.iloc[lo : lo + 200])
+
+    def decide(b: pd.DataFrame) -> pd.DataFrame:
+        faults = []
+        for title, section, pages, text, heads_ in zip(b.title, b.section_title, b.pages, b.text, b.heads):
+            known = {h["line_no"]: h["key"] for h in heads_} if heads_ is not None else {}
+            faults.append(line_faults(text, _pages(pages), known, section, title, counts))
+        edits = misread_lines(b.text.tolist(), faults, counts)
+        out = []
+        if repaired:
+            for t, (cid, text) in enumerate(zip(b.chunk_id, b.text)):
+                out.append((cid, repair(text, faults[t], {i: e for (k, i), e in edits.items() if k == t})))
+        else:
+            for t, i in edits:
+                faults[t].setdefault(i, set()).add("misread")
+            out = [(cid, i, f) for cid, found in zip(b.chunk_id, faults) for i, fs in found.items() for f in sorted(fs)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     return rows.mapInPandas(run, schema)
 
