@@ -14,19 +14,13 @@ def terms_of(c: Column) -> Column:
     t = F.lower(c)
     words = F.regexp_extract_all(t, F.lit(r"([a-zà-ÿ0-9]+)"), F.lit(1))
     rest = F.regexp_replace(t, r"[a-zà-ÿ0-9\s\p{P}\p{S}]+", "")
-    pieces = F.when(F.length(rest) >= 3, F.transform(F.sequence(F.lit(1), F.length(rest) - 2), lambda i: F.substring(rest, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    # a look-ahead finds overlapping pieces in one pass; a lambda over positions would evaluate ``rest`` for each
+    pieces = F.regexp_extract_all(rest, F.lit(r"(?=(...))"), F.lit(1))
     return F.concat(words, pieces)
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, size): term frequencies and the number of terms of each row, counted within the row: no shuffle."""
-    rows = df.select(key, terms_of(F.col(text)).alias("terms")).withColumn("size", F.size("terms"))
-    counted = F.expr("transform(array_distinct(terms), t -> named_struct('term', t, 'tf', size(filter(terms, x -> x = t))))")
-    return rows.select(key, "size", F.explode(counted).alias("p")).select(key, "p.term", "p.tf", "size")
-
-
-def exploded_postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """As ``postings`` for long texts, where counting within the row would be quadratic: an aggregate by (key, term)."""
+    """(key, term, tf, size): term frequencies and the number of terms of each row; counting is partially aggregated."""
     rows = df.select(key, terms_of(F.col(text)).alias("terms")).withColumn("size", F.size("terms"))
     return rows.select(key, "size", F.explode("terms").alias("term")).groupBy(key, "term", "size").agg(F.count("*").alias("tf")).select(key, "term", "tf", "size")
 

@@ -236,7 +236,7 @@ MAX_KEYWORDS = 2000
 
 
 def _posts(spark, d):
-    return lexical.exploded_postings(chunks(spark, d, "text").filter("text is not null"), "chunk_id", "text")
+    return lexical.postings(chunks(spark, d, "text").filter("text is not null"), "chunk_id", "text")
 
 
 @query()
