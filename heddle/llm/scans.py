@@ -427,8 +427,9 @@ def repair(text: str, faults: dict[int, set[str]], edits: dict[int, list[tuple[i
         if fresh or not out:
             out.append(x)
         else:
-            space = "" if open_ or (re.search(r"[ก-๛぀-鿿-]$", out[-1]) and re.match(r"[ก-๛぀-鿿]", x)) else " "
-            out[-1] += ("" if open_ else space) + x
+            wide = re.search("[ก-๛぀-鿿]$", out[-1]) and re.match("[ก-๛぀-鿿]", x)
+            hyphened = re.search(rf"\w[{HYPHENS}]$", out[-1])  # a hyphen that belongs to the word
+            out[-1] += ("" if open_ or wide or hyphened else " ") + x
         open_, fresh = glue, False
     return "\n".join(out)
 
