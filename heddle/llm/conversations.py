@@ -26,6 +26,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -82,22 +83,25 @@ def link_score(dt: float, turn: bool, mention: bool, overlap: float) -> float:
     return -W_TIME * math.log1p(dt / 30.0) + W_TURN * turn + W_MENTION * mention + W_LEXICAL * overlap
 
 
-def _parents(ts: list, ids: list, roles: list, texts: list) -> tuple[list, list]:
-    """The likeliest parent of each message of one ordered channel. Going back in time stops, exactly, where even the full bonus loses."""
+def _parents(ts: list, ids: list, roles: list, texts: list, first: list | None = None) -> tuple[list, list]:
+    """The likeliest parent of each message of ordered channels; first: where the channel of each message begins.
+
+    Going back in time stops, exactly, where even the full bonus loses.
+    """
     grams: list = []
     parent, score = [None] * len(ids), [None] * len(ids)
     for i in range(len(ids)):
         g = _grams(texts[i])
-        names = {w[1:] for w in re.findall(r"@\w+", (texts[i] or "").lower())}
+        names = {w[1:] for w in re.findall(r"@\w+", texts[i].lower())} if texts[i] and "@" in texts[i] else frozenset()
         best, at = -math.inf, None
-        j = i - 1
-        while j >= 0 and ts[i] - ts[j] <= GAP:
+        j, low = i - 1, first[i] if first else 0
+        while j >= low and ts[i] - ts[j] <= GAP:
             dt = ts[i] - ts[j]
             if BONUS - W_TIME * math.log1p(dt / 30.0) <= best:
                 break
             common = len(g & grams[j])
             overlap = common / math.sqrt(len(g) * len(grams[j])) if common else 0.0
-            s = link_score(dt, roles[j] is not None and roles[j] != roles[i], bool(names & {roles[j] or "", str(ids[j])}), overlap)
+            s = link_score(dt, roles[j] is not None and roles[j] != roles[i], bool(names) and bool(names & {roles[j] or "", str(ids[j])}), overlap)
             if s > best:
                 best, at = s, j
             j -= 1
@@ -112,11 +116,10 @@ def _link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rest: pd.DataFrame | None = None
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, g in part.groupby(["user", "bucket"], sort=False):
-            p, s = _parents(g.ts.tolist(), g.id.tolist(), g.role.tolist(), g.text.tolist())
-            out.append(g.assign(parent=pd.array(p, dtype="Int64"), score=s)[~g.halo.to_numpy()])
-        x = pd.concat(out)
+        begins = ((part.user != part.user.shift()) | (part.bucket != part.bucket.shift())).to_numpy()
+        first = np.maximum.accumulate(np.where(begins, np.arange(len(part)), 0)).tolist()
+        p, s = _parents(part.ts.tolist(), part.id.tolist(), part.role.tolist(), part.text.tolist(), first)
+        x = part.assign(parent=pd.array(p, dtype="Int64"), score=s)[~part.halo.to_numpy()]
         return x[["user", "bucket", "ts", "id", "role", "content", "parent", "score"]]
 
     for b in batches:
