@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession, Window as W, functions as F
 from heddle.functions import text as T
 from heddle.operators import graph, lexical, ranking, vectors
 from heddle.plans.tables import CHUNKS, CLAIMS, EVENTS, USERS, chunks, claims, match_events, users
-from heddle.session import table
+from heddle.session import settle, table
 
 QUERIES, SQL = {}, {}
 
@@ -83,7 +83,8 @@ select rule, type, count(*) n from (
 )
 def flt03_graph_violations(spark: SparkSession, d: str):
     parts = _edges(spark, d)
-    return graph.violations(graph.nodes(*parts), parts[-1])
+    edges = settle(parts[-1])  # read five times
+    return graph.violations(settle(graph.nodes(*parts[:-1], edges)), edges)
 
 
 @query(f"with {CHUNKS}, n0 as (select chunk_id, regexp_replace(chunk_id, '_c[0-9]+$', '') s, try_cast(regexp_extract(chunk_id, '_c([0-9]+)$', 1) as int) o from c) select a.chunk_id, b.chunk_id next_id from n0 a join n0 b on a.s = b.s and a.o + 1 = b.o")
@@ -236,7 +237,8 @@ MAX_KEYWORDS = 2000
 
 
 def _posts(spark, d):
-    return lexical.postings(chunks(spark, d, "text").filter("text is not null"), "chunk_id", "text")
+    """Written once: statistics and scores each read them."""
+    return settle(lexical.postings(chunks(spark, d, "text").filter("text is not null"), "chunk_id", "text"))
 
 
 @query()
