@@ -7,8 +7,9 @@ values are counted, the distinct ones sorted by range partitions, and running
 counts become ranks once each partition's offset is added. ``outlier_scores``
 looks the values up and adds the surprise -ln(tail) of all statistics.
 
-A document whose score is high enough to be doubtful is then checked exactly:
-it is no prose if at most half of its visible characters stand in prose.
+Every document is checked exactly, whatever its score: it is no prose if at most
+half of its visible characters stand in prose. The score only orders what is
+found, as copies that make up most of a language hide in each other's tails.
 
 Scale. One map over the texts; everything after it works on a narrow table of
 numbers written once. Statistics have four decimals, so a language has a
@@ -35,7 +36,6 @@ from heddle.llm.languages import detect
 from heddle.llm.prose import STATISTICS, statistics
 
 KNOWN = ("th", "en", "fr", "de", "zh", "ja")
-DOUBT = 1.0  # below it a document is ordinary in every statistic; also for languages of few documents, whose tails are never thin
 MAX_TABLE = 2_000_000
 
 
@@ -102,7 +102,8 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).filter((F.col("score") >= DOUBT) & (F.col("no_prose_share") >= 0.5)).select("doc_id")
+    """Documents that are no prose, the most unusual of their language first."""
+    return _scored(spark, d).filter("no_prose_share >= 0.5").orderBy(F.desc("score"), "doc_id").select("doc_id")
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
