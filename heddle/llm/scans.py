@@ -247,16 +247,20 @@ def _better(old: np.ndarray, new: np.ndarray, there: np.ndarray) -> tuple[np.nda
 
 
 def misreadings(text: str, counts: np.ndarray) -> list[tuple[int, int, str]]:
-    """Edits (start, end, replacement) that common confusions and the corpus suggest; all lines of ``text`` at once."""
+    """Edits (start, end, replacement) that common confusions and the corpus suggest; all lines of ``text`` at once.
+
+    What a line gets depends on its own characters alone: breaks around the text
+    make its first and last lines like the others.
+    """
+    if len(text) < GRAM:
+        return []
+    text = "\n" * GRAM + text + "\n" * GRAM
     codes = _codes(text)
     sums = _sums(codes)
     n = len(sums)
-    if n < 2:
-        return []
     whole = _whole(codes)
     have = np.where(whole, counts[_cells(sums)], 0)
-    usual = float(np.median(have[whole])) if whole.any() else 0.0
-    rare = whole & (have <= max(3.0, 0.1 * usual))
+    rare = whole & (have <= np.maximum(3.0, 0.1 * _usual(have, whole, codes)))
     k = np.arange(GRAM)
     # per character: pieces that hold it, and how many of them are rare
     run = np.concatenate([np.zeros(GRAM, np.int64), np.cumsum(rare), np.full(GRAM, rare.sum())])
@@ -313,7 +317,21 @@ def misreadings(text: str, counts: np.ndarray) -> list[tuple[int, int, str]]:
                 out.append((i, j, made))
                 taken.update(range(i, j))
             at = text.find(seen, at + 1)
-    return sorted(out)
+    return sorted((i - GRAM, j - GRAM, made) for i, j, made in out)
+
+
+def _usual(have: np.ndarray, whole: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """For every piece the median count of the pieces of its line."""
+    line = np.cumsum(codes == 10)[: len(have)]
+    at = np.flatnonzero(whole)
+    out = np.zeros(len(have))
+    if len(at):
+        owner = line[at]
+        counts = have[at][np.lexsort((have[at], owner))]  # lines stay in order
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        size = np.diff(np.append(first, len(at)))
+        out[at] = np.repeat((counts[first + (size - 1) // 2] + counts[first + size // 2].astype(float)) / 2, size)
+    return out
 
 
 def _attempt(text: str, i: int, j: int, made: str, counts: np.ndarray) -> bool:
