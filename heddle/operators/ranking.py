@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from heddle.session import settle
+
 
 def rank_by(df: DataFrame, group: Sequence[str], score: str, key: str, name: str = "rank") -> DataFrame:
     """1-based rank by falling score, then key."""
@@ -17,6 +19,19 @@ def top_k(df: DataFrame, group: Sequence[str], score: str, key: str, k: int, nam
     return rank_by(df, group, score, key, name).filter(F.col(name) <= k)
 
 
+def rank_all(df: DataFrame, group: Sequence[str], score: str, key: str, name: str = "rank") -> DataFrame:
+    """The ranks of ``rank_by`` for complete lists: a group is ranked in range partitions, each offset by the rows before it."""
+    place = [*group, F.desc(score), key]
+    parts = max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = settle(df.repartitionByRange(parts, *place).sortWithinPartitions(*place).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy("__part", *group).agg(F.count("*").alias("__n"))
+    before = W.partitionBy(*group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select("__part", *group, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))  # at most partitions + groups rows
+    inside = F.row_number().over(W.partitionBy("__part", *group).orderBy(F.desc(score), key))
+    ranks = ranged.withColumn(name, inside).join(F.broadcast(offsets), ["__part", *group])
+    return ranks.withColumn(name, (F.col(name) + F.col("__before")).cast("int")).select(*df.columns, name)
+
+
 def min_max(df: DataFrame, group: Sequence[str], score: str, name: str) -> DataFrame:
     """Scores scaled to 0..1 within the group; 0.5 where all are equal. Bounds come from a partial aggregate, not a window."""
     bounds = df.groupBy(*group).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
@@ -48,11 +63,18 @@ def cap_per_source(df: DataFrame, group: Sequence[str], source: str, order: Sequ
 
 
 def cap_with_refill(df: DataFrame, group: Sequence[str], source: str, rank: str, cap: int, k: int) -> DataFrame:
-    """k rows per group: at most ``cap`` of a source while others last, the rest refilled in order of rank; adds ``pos``."""
-    late = (F.row_number().over(W.partitionBy(*group, source).orderBy(rank)) > cap).alias("__late")
-    marked = df.select("*", late)
-    pos = F.row_number().over(W.partitionBy(*group).orderBy("__late", rank))
-    return marked.withColumn("pos", pos).filter(F.col("pos") <= k).drop("__late")
+    """k rows per group: at most ``cap`` of a source while others last, the rest refilled in order of rank; adds ``pos``.
+
+    The refill comes from the first k of the group: of those, all that are not
+    among the first ``cap`` of their source suffice. Both parts are limits, which
+    Spark applies before the shuffle.
+    """
+    n = F.row_number().over(W.partitionBy(*group, source).orderBy(rank))
+    early = df.withColumn("__n", n).filter(F.col("__n") <= cap)
+    first = df.withColumn("__k", F.row_number().over(W.partitionBy(*group).orderBy(rank))).filter(F.col("__k") <= k).drop("__k")
+    late = first.withColumn("__n", n).filter(F.col("__n") > cap)
+    pos = F.row_number().over(W.partitionBy(*group).orderBy(F.col("__n") > cap, rank))
+    return early.unionByName(late).withColumn("pos", pos).filter(F.col("pos") <= k).drop("__n")
 
 
 def greedy_budget(items: Column, budget: int) -> Column:

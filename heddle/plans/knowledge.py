@@ -268,19 +268,18 @@ def _overlaps(spark, d):
 
 @query()
 def win02_reciprocal_fusion(spark: SparkSession, d: str):
-    """Reciprocal-rank fusion of the best 50 by BM25 and by overlap, the best ten of it."""
-    a = ranking.top_k(_bm25(spark, d), ["qid"], "score", "chunk_id", 50)
-    b = ranking.top_k(_overlaps(spark, d), ["qid"], "score", "chunk_id", 50)
-    fused = ranking.reciprocal_rank_fusion(a, b, ["qid"], "chunk_id").withColumn("score", F.round("score", 6))
-    return ranking.top_k(fused, ["qid"], "score", "chunk_id", 10)
+    """Reciprocal-rank fusion of the complete lists by BM25 and by overlap, the best ten of it."""
+    a = ranking.rank_all(_bm25(spark, d), ["qid"], "score", "chunk_id")
+    b = ranking.rank_all(_overlaps(spark, d), ["qid"], "score", "chunk_id")
+    fused = ranking.reciprocal_rank_fusion(a, b, ["qid"], "chunk_id")
+    return ranking.top_k(fused, ["qid"], "score", "chunk_id", 10).withColumn("score", F.round("score", 6))
 
 
 @query()
 def agg01_weighted_fusion(spark: SparkSession, d: str):
-    a = ranking.top_k(_bm25(spark, d), ["qid"], "score", "chunk_id", 50).drop("rank")
-    b = ranking.top_k(_overlaps(spark, d), ["qid"], "score", "chunk_id", 50).drop("rank")
-    fused = ranking.weighted_fusion(a, b, ["qid"], "chunk_id", 0.3).withColumn("score", F.round("score", 6))
-    return ranking.top_k(fused, ["qid"], "score", "chunk_id", 10)
+    """Weighted fusion of all scores by BM25 and by overlap, the best ten of it."""
+    fused = ranking.weighted_fusion(settle(_bm25(spark, d)), settle(_overlaps(spark, d)), ["qid"], "chunk_id", 0.3)
+    return ranking.top_k(fused, ["qid"], "score", "chunk_id", 10).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -300,9 +299,9 @@ def agg22_hit_and_mrr(spark: SparkSession, d: str):
 @query()
 def win05_deferred_refill(spark: SparkSession, d: str):
     """Eight chunks per question: at most two of a source while others last, the rest refilled by rank."""
-    top = ranking.top_k(_bm25(spark, d), ["qid"], "score", "chunk_id", 50)
+    ranked = ranking.rank_all(_bm25(spark, d), ["qid"], "score", "chunk_id")
     sources = chunks(spark, d).select("chunk_id", F.coalesce("source_id", F.lit("")).alias("source_id"))
-    return ranking.cap_with_refill(top.join(sources, "chunk_id"), ["qid"], "source_id", "rank", 2, 8).select("qid", "chunk_id", "rank", "pos")
+    return ranking.cap_with_refill(settle(ranked.join(sources, "chunk_id")), ["qid"], "source_id", "rank", 2, 8).select("qid", "chunk_id", "rank", "pos")
 
 
 @query()
