@@ -6,10 +6,10 @@ from pyspark.sql import SparkSession, Window as W, functions as F
 
 from heddle.functions import text as T
 from heddle.operators import ranking
-from heddle.plans.knowledge import mth07_bm25_top
+from heddle.plans.knowledge import _bm25, mth07_bm25_top
 from heddle.plans.tables import EVENTS, MESSAGES, USERS, WS, chunks, match_events, messages, users
 from heddle.operators.references import clean_key, current_rows
-from heddle.session import table
+from heddle.session import settle, table
 
 QUERIES, SQL = {}, {}
 
@@ -34,9 +34,9 @@ def win21_clear_winners(spark: SparkSession, d: str):
 @query()
 def win22_near_best(spark: SparkSession, d: str):
     """All within 0.08 of the best score, relative to it."""
-    top = mth07_bm25_top(spark, d)
-    best = top.groupBy("qid").agg(F.max("score").alias("best"))
-    return top.join(F.broadcast(best), "qid").filter("score >= best * 0.92").select("qid", "chunk_id", "score")
+    scored = settle(_bm25(spark, d))
+    best = scored.groupBy("qid").agg(F.max("score").alias("best"))
+    return scored.join(F.broadcast(best), "qid").filter("score >= best * 0.92").select("qid", "chunk_id", "score")
 
 
 @query()

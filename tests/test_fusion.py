@@ -1,11 +1,11 @@
-"""Fusion and refill over complete lists against brute force."""
+"""Fusion, refill and margin over complete lists against brute force."""
 
 from collections import defaultdict
 
 import pytest
 
 from heddle.operators import ranking
-from heddle.plans import knowledge
+from heddle.plans import knowledge, more
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +81,10 @@ def test_refill_takes_other_sources_while_they_last(spark, tables):
     assert got(knowledge.win05_deferred_refill(spark, d), "pos", "rank", "chunk_id") == want
     few = spark.createDataFrame([("q", f"i{k}", "s", k) for k in range(1, 20)], "q string, id string, src string, rank int")
     assert [r.id for r in ranking.cap_with_refill(few, ["q"], "src", "rank", 2, 5).orderBy("pos").collect()] == ["i1", "i2", "i3", "i4", "i5"]
+
+
+def test_all_near_the_best(spark, tables):
+    d, a, _, _ = tables
+    want = {q: sorted((i, v) for i, v in s.items() if v >= max(s.values()) * 0.92) for q, s in a.items()}
+    assert any(len(v) > 10 for v in want.values())
+    assert got(more.win22_near_best(spark, d), "chunk_id", "score") == want
