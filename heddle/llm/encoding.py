@@ -102,6 +102,8 @@ def _utf8_spans(text: str) -> list[Span]:
             if again and _sensible(again):
                 made = again
             inside = text[m.start() - 1 : m.start()].isascii() and text[m.start() - 1 : m.start()].isalpha()  # Thai letters inside a Latin word
+            if codec == "cp874" and "ก" <= text[m.end() : m.end() + 1] <= "๛":  # a Thai word that follows a Latin one without a space
+                inside = False
             if not _sensible(made) or (len(made) < 3 and _natural(m.group()) and not inside):
                 continue
             if codec == "cp874" and len(made) < 2 and made not in SIGNS and not inside:  # clean Thai may hold one such triple
@@ -208,7 +210,7 @@ def _apply(text: str, spans: list[Span]) -> str:
 
 
 _CLEAN = re.compile(r"[\x00-\x7fก-ฺ฿-๛“”’…]*")
-_CLEAN_THAI = re.compile("เธ|เน[^ะ-ฺเ-๎]|โ€")
+_CLEAN_THAI = re.compile("เธ|เน[^ะ-ฺเ-๎]|โ€|[A-Za-z][ก-๛]")  # the last: Latin words may hold Thai letters for accented ones
 
 
 def garbled_spans(text: str | None, learned: tuple[tuple[str, str], ...] = ()) -> list[Span]:
