@@ -1,31 +1,40 @@
 """Evaluation texts leaking into training text (problem 9).
 
 Texts are compared by their letters alone (case, digits, white space, invisible
-characters and punctuation do not count). Items are cut into windows of
-``WINDOW`` letters at every ``STRIDE``; a document has such a window at every
-letter. The fingerprint of a window is the 64-bit SimHash of its shingles of
-``SHINGLE`` letters. Fingerprints within RADIUS differ in at most RADIUS bits,
-so of RADIUS + 1 blocks at least one agrees: a lookup per block finds all of
-them. A document and an item with fingerprints in common are verified: the
-shingles of the item that the document holds in the item's order, weighted by
-the letters that each adds, must cover more than half of the item.
+characters and punctuation do not count). The fingerprint of a window is the
+64-bit SimHash of its shingles of ``SHINGLE`` letters. Items have windows of
+two sizes at every letter: large ones, as long as an item where the counters
+reach so far, and small ones that fit between exchanged words. Documents have
+the same windows at every ``stride`` letters, so that a stretch of a window and
+a stride holds one whole. Fingerprints within RADIUS differ in at most RADIUS
+bits, so of RADIUS + 1 blocks at least one agrees: a lookup per block finds all
+of them. Windows that follow one another in both texts form stretches; a
+document and an item whose stretches reach FLOOR of the item are verified. Runs
+of at least RUN equal letters, with exchanged words between two of them, are
+passages if they reach PASSAGE letters; what the document's passages hold of
+the item, in the item's order, must be more than half of it. How much text
+stands between passages does not matter; phrases by themselves do not count.
 
 Scale. The evaluation items are the stated query set; they are taken in blocks
 of at most ITEM_BYTES of text, each sent along with the task, and every
 document meets each block in one map over the corpus: no shuffle, nothing of
-the documents leaves its row. All positions of an Arrow batch are fingerprinted
-together: eight bit counters fit a 64-bit word, and the sums of sliding windows
-are differences of one running sum.
-
-Cases. Null or empty documents and items hold nothing. Items shorter than one
-window are one window of their own length, and those below SHINGLE letters are
-compared as they are. Items of equal text are reported each. A document that
-holds several items has a row for each; repeated documents are all reported.
+the documents leaves its row. The positions of many documents are fingerprinted
+together, and those of one long document in segments of SEGMENT letters: eight
+bit counters fit a 64-bit word, and the sums of sliding windows are differences
+of one running sum that both sizes share. Only every stride-th window of a
+document is looked up; the items, which are few, have all of theirs.
+
+Cases. Null or empty documents and items hold nothing. Items of at most SHORT
+letters are verified wherever a document has one of their runs, those below RUN
+letters must be held whole. Items of equal text are reported each. A document
+that holds several items has a row for each; repeated documents are all
+reported.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,11 +44,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from heddle.llm.common import table
 
-WINDOW, STRIDE, SHINGLE, RADIUS = 48, 12, 6, 3
+SHINGLE, RADIUS = 6, 3
+SCALES = ((96, 32), (24, 6))  # (shingles of a window, letters from one window of a document to the next)
 MIN_SHARE = 0.5
-LEAST_WINDOWS = 0.08  # share of an item's windows that must be met before it is verified; more than half of the item is some six times that
-RUN = 14  # letters in a row that a matching stretch must have
-GAP = 500  # letters of other text that may stand between two stretches of one passage
+FLOOR = 0.35  # share of an item that stretches of windows must reach before it is verified
+RUN, PASSAGE = 12, 40  # letters of a run, and of a passage of runs
+EXCHANGED = 16  # letters of an exchanged word, at most
+SHORT = 80
+SEGMENT = 1_500_000
 ITEM_BYTES = 8_000_000
 _MARKS = "".join(chr(c) for c in range(0xE31, 0xE4F) if not chr(c).isalnum())
 _OTHER = re.compile(rf"[^\w{_MARKS}]+|[\d_]+")
@@ -75,120 +87,235 @@ def shingle_hashes(codes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def simhashes(hashes: np.ndarray, window: int) -> np.ndarray:
-    """The 64-bit SimHash of every run of ``window`` shingles (at most 127)."""
-    n = len(hashes) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    most = np.uint64(sum((127 - window // 2) << (8 * k) for k in range(8)))
+def simhashes(hashes: np.ndarray, windows: list[tuple[int, np.ndarray]]) -> list[np.ndarray]:
+    """For each (size, starts) the 64-bit SimHash of the runs of ``size`` shingles (at most 127) from each start."""
+    out = [np.zeros(len(at), np.uint64) for _, at in windows]
     top = np.uint64(0x8080808080808080)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
     for byte in range(8):
-        sums = np.zeros(len(hashes) + 1, np.uint64)
         np.cumsum(_SPREAD[(hashes >> np.uint64(8 * byte)) & np.uint64(255)], out=sums[1:])
-        over = ((sums[window:] - sums[:-window]) + most) & top  # more than half of the window sets the bit
-        out |= (((over >> np.uint64(7)) * _GATHER) >> np.uint64(56)) << np.uint64(8 * byte)
+        for prints, (size, at) in zip(out, windows):
+            most = np.uint64(sum((127 - size // 2) << (8 * k) for k in range(8)))
+            over = ((sums[at + size] - sums[at]) + most) & top  # more than half of the window sets the bit
+            prints |= (((over >> np.uint64(7)) * _GATHER) >> np.uint64(56)) << np.uint64(8 * byte)
     return out
 
 
-class Items:
-    """A block of items with the lookup tables of their windows' fingerprints."""
+class Windows:
+    """The windows of one size of all items, with a lookup per block of their fingerprints."""
 
-    def __init__(self, ids: list[str], texts: list[str]):
-        self.ids, self.texts = ids, [letters(t) for t in texts]
-        self.short = [i for i, t in enumerate(self.texts) if 0 < len(t) < WINDOW + SHINGLE - 1]
-        prints, owner = [], []
-        for i, t in enumerate(self.texts):
-            if i in set(self.short) or not t:
-                continue
-            codes, _ = _codes([t])
-            p = simhashes(shingle_hashes(codes), WINDOW)[::STRIDE]
-            prints.append(p)
-            owner += [i] * len(p)
-        self.prints = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
-        self.owner = np.array(owner, np.int64)
-        self.n_windows = np.bincount(self.owner, minlength=len(ids))
+    def __init__(self, prints: np.ndarray, owner: np.ndarray, place: np.ndarray):
+        self.prints, self.owner, self.place = prints, owner, place
         bits = 64 // (RADIUS + 1)
         self.blocks = []
         for k in range(RADIUS + 1):
-            part = (self.prints >> np.uint64(bits * k)) & np.uint64((1 << bits) - 1)
+            mask = np.uint64(((1 << bits) - 1) << (bits * k))
+            part = (prints & mask) >> np.uint64(bits * k)
             order = np.argsort(part, kind="stable")
-            sorted_ = part[order]
-            first = np.searchsorted(sorted_, np.arange(1 << bits, dtype=np.uint64)).astype(np.int64)
-            count = np.bincount(part.astype(np.int64), minlength=1 << bits)
-            self.blocks.append((np.uint64(bits * k), np.uint64((1 << bits) - 1), order, first, count))
-        self.index: dict[int, dict[str, list[int]]] = {}
-
-    def candidates(self, prints: np.ndarray, owner: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(document, item, first place, last place) with enough windows of the item within RADIUS; ``at``: places in the document."""
-        met: list[np.ndarray] = []
-        for shift, mask, order, first, count in self.blocks:
-            part = ((prints >> shift) & mask).astype(np.int64)
+            first = np.searchsorted(part[order], np.arange(1 << bits, dtype=np.uint64)).astype(np.int64)
+            self.blocks.append((np.uint64(bits * k), mask, order, first, np.bincount(part.astype(np.int64), minlength=1 << bits)))
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (place in ``prints``, window) within RADIUS, each once: from the first block that agrees."""
+        lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, (shift, mask, order, first, count) in enumerate(self.blocks):
+            part = ((prints & mask) >> shift).astype(np.int64)
             times = count[part]
             some = np.flatnonzero(times)
-            if not len(some):
-                continue
             times = times[some]
             left = np.repeat(some, times)
-            within = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
-            right = order[np.repeat(first[part[some]], times) + within]
-            near = np.bitwise_count(prints[left] ^ self.prints[right]) <= RADIUS
-            left, right = left[near], right[near]
-            met.append(np.stack([owner[left], self.owner[right], right, at[left]], axis=1))
-        if not met:
-            return []
-        rows = np.unique(np.concatenate(met), axis=0)
-        pairs, inverse = np.unique(rows[:, :2], axis=0, return_inverse=True)
-        inverse = inverse.ravel()
-        windows = np.unique(np.stack([inverse, rows[:, 2]], axis=1), axis=0)
-        n = np.bincount(windows[:, 0], minlength=len(pairs))
-        low, high = np.full(len(pairs), 1 << 60), np.zeros(len(pairs), np.int64)
-        np.minimum.at(low, inverse, rows[:, 3])
-        np.maximum.at(high, inverse, rows[:, 3])
-        enough = n >= np.maximum(2, LEAST_WINDOWS * self.n_windows[pairs[:, 1]])
-        return [(int(d), int(i), int(a), int(z)) for (d, i), a, z in zip(pairs[enough], low[enough], high[enough])]
-
-    def held(self, doc: str, item: int) -> float:
-        """Share of the item's letters that the document holds in the item's order."""
+            right = order[np.repeat(first[part[some]] - np.cumsum(times) + times, times) + np.arange(len(left))]
+            apart = prints[left] ^ self.prints[right]
+            close = np.flatnonzero(np.bitwise_count(apart) <= RADIUS)
+            for _, earlier, *_ in self.blocks[:k]:
+                close = close[(apart[close] & earlier) != 0]
+            lefts.append(left[close])
+            rights.append(right[close])
+        return np.concatenate(lefts), np.concatenate(rights)
+
+
+class Items:
+    """A block of items with the lookup tables of their windows and runs."""
+
+    def __init__(self, ids: list[str], texts: list[str]):
+        self.ids, self.texts = ids, [letters(t) for t in texts]
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.whole = [i for i, n in enumerate(self.sizes) if 0 < n < RUN]  # too short for a run
+        self.short = [i for i, n in enumerate(self.sizes) if RUN <= n <= SHORT]
+        codes, first = _codes(self.texts)
+        hashes = shingle_hashes(codes)
+        place = np.arange(len(hashes))
+        owner = np.searchsorted(first, place, side="right") - 1
+        self.windows = []
+        for size, _ in SCALES:
+            at = place[(place + size + SHINGLE - 1 <= (first + self.sizes)[owner]) & (self.sizes[owner] > SHORT)]
+            self.windows.append(Windows(simhashes(hashes, [(size, at)])[0], owner[at], at - first[owner[at]]))
+        runs = [shingle_hashes(codes[a : a + n], RUN) for a, n in zip(first, self.sizes)]
+        order = [np.argsort(r, kind="stable") for r in runs]
+        self.runs = [(r[o], o) for r, o in zip(runs, order)]
+        self.short_runs = np.unique(np.concatenate([np.zeros(0, np.uint64), *[runs[i] for i in self.short]]))
+
+    def candidates(self, docs: list[str]) -> list[tuple[int, int]]:
+        """(document, item) whose stretches reach FLOOR of the item, or that share a run with a short item."""
+        pairs: set[tuple[int, int]] = {(d, i) for i in self.whole for d, t in enumerate(docs) if t}
+        met: list[np.ndarray] = []  # (document and item, letters of stretches)
+        reach = max(s for s, _ in SCALES) + SHINGLE - 1
+        for part in _segments([len(t) for t in docs], reach):
+            codes, first = _codes([docs[d][a:z] for d, a, z in part])
+            doc = np.array([d for d, _, _ in part])
+            end = np.append(first[1:], len(codes))
+            hashes = shingle_hashes(codes)
+            place = np.arange(len(hashes))
+            owner = np.searchsorted(first, place, side="right") - 1
+            starts = []
+            for size, stride in SCALES:
+                at = np.flatnonzero((place - first[owner]) % stride == 0)
+                starts.append((size, at[at + size + SHINGLE - 1 <= end[owner[at]]]))
+            for windows, (size, at), prints in zip(self.windows, starts, simhashes(hashes, starts)):
+                if len(windows.prints) and len(at):
+                    same, inverse = np.unique(prints, return_inverse=True)  # texts repeat phrases
+                    left, right = windows.near(same)
+                    times = np.bincount(inverse, minlength=len(same))
+                    order = np.argsort(inverse, kind="stable")
+                    begin = np.cumsum(times) - times
+                    n = times[left]
+                    rows = order[np.repeat(begin[left] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    met.append(self._stretches(at[rows], doc[owner[at[rows]]], windows, np.repeat(right, n), size + SHINGLE - 1))
+            if len(self.short_runs):
+                inside = np.flatnonzero(np.isin(shingle_hashes(codes, RUN), self.short_runs))
+                at = np.searchsorted(first, inside, side="right") - 1
+                pairs.update((d, i) for d in set(doc[at].tolist()) for i in self.short)
+        if met:
+            rows = np.concatenate(met)
+            keys, inverse = np.unique(rows[:, 0], return_inverse=True)
+            sums = np.bincount(inverse.ravel(), rows[:, 1])
+            d, i = keys // len(self.ids), keys % len(self.ids)
+            good = sums >= FLOOR * self.sizes[i]
+            pairs.update(zip(d[good].tolist(), i[good].tolist()))
+        return sorted(pairs)
+
+    def _stretches(self, at: np.ndarray, doc: np.ndarray, windows: Windows, right: np.ndarray, letters_: int) -> np.ndarray:
+        """Rows (document and item, letters): windows that follow one another in both texts, and the first of each stretch."""
+        key = doc * len(self.ids) + windows.owner[right]
+        order = np.lexsort((at - windows.place[right], at, key))
+        key, at, apart = key[order], at[order], (at - windows.place[right])[order]
+        gain = np.full(len(key), -1)
+        for back in (1, 2, 3):
+            near = np.zeros(len(key), bool)
+            step = at[back:] - at[:-back]
+            near[back:] = (key[back:] == key[:-back]) & (step <= letters_ + EXCHANGED) & (np.abs(apart[back:] - apart[:-back]) <= EXCHANGED)
+            gain[back:] = np.where((gain[back:] < 0) & near[back:], step, gain[back:])
+        follows = gain >= 0
+        begins = np.zeros(len(key), bool)
+        begins[:-1] = ~follows[:-1] & follows[1:]
+        gain = np.where(follows, gain, np.where(begins | (letters_ > PASSAGE), letters_, 0))
+        return np.stack([key, gain], axis=1)
+
+    def held(self, doc: str, item: int, least: float = 0.0) -> float:
+        """Share of the item's letters that the document's passages hold in the item's order; 0 where it cannot exceed ``least``."""
         text = self.texts[item]
-        if item not in self.index:
-            places: dict[str, list[int]] = {}
-            for i in range(len(text) - RUN + 1):
-                places.setdefault(text[i : i + RUN], []).append(i)
-            self.index[item] = places
-        return ordered_share(doc, text, self.index[item])
-
-
-def ordered_share(doc: str, item: str, places: dict[str, list[int]], width: int = RUN) -> float:
-    """The heaviest chain of common stretches, each later in both texts than the one before, by letters of the item covered."""
-    stretches: list[tuple[int, int, int]] = []  # (document start, item start, length)
-    open_: dict[int, tuple[int, int, int]] = {}  # by diagonal
-    for d in range(len(doc) - width + 1):
-        for i in places.get(doc[d : d + width], ()):
-            s = open_.get(d - i)
-            if s and s[0] + s[2] == d + width - 1:
-                open_[d - i] = (s[0], s[1], s[2] + 1)
-            else:
-                if s:
-                    stretches.append(s)
-                open_[d - i] = (d, i, width)
-    stretches += open_.values()
-    stretches.sort()
-    best: list[int] = []
-    total, longest = 0, max((n for _, _, n in stretches), default=0)
-    for k, (d, i, n) in enumerate(stretches):
-        top = n
+        if len(text) < RUN:
+            return float(text in doc)
+        hashes, order = self.runs[item]
+        at: list[np.ndarray] = []
+        for lo in range(0, max(1, len(doc) - RUN + 1), SEGMENT):
+            runs = shingle_hashes(_codes([doc[lo : lo + SEGMENT + RUN - 1]])[0], RUN)
+            a = np.searchsorted(hashes, runs, side="left")
+            n = np.searchsorted(hashes, runs, side="right") - a
+            d = np.repeat(np.arange(len(runs)), n)
+            i = order[np.repeat(a - np.cumsum(n) + n, n) + np.arange(len(d))]
+            at.append(np.stack([d + lo, i], axis=1))
+        kept = passages(np.concatenate(at), min(PASSAGE, max(RUN, len(text) // 2)))
+        if kept[:, 2].sum() + EXCHANGED * len(kept) <= least * len(text):
+            return 0.0
+        return ordered_letters(kept, len(text)) / len(text)
+
+
+def _segments(sizes: list[int], reach: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Stretches (document, begin, end) in lots of about SEGMENT letters; those of one document overlap by a window."""
+    lot: list[tuple[int, int, int]] = []
+    held = 0
+    for d, n in enumerate(sizes):
+        for lo in range(0, max(1, n), SEGMENT):
+            lot.append((d, lo, min(n, lo + SEGMENT + reach - 1)))
+            held += lot[-1][2] - lo
+            if held >= SEGMENT:
+                yield lot
+                lot, held = [], 0
+    if lot:
+        yield lot
+
+
+def passages(starts: np.ndarray, least: int) -> np.ndarray:
+    """Runs (begin in the document, begin in the item, letters) of passages of at least ``least`` letters.
+
+    ``starts``: rows (place in the document, place in the item) where RUN letters
+    agree. Runs with at most an exchanged word between them in both texts are of
+    one passage.
+    """
+    if not len(starts):
+        return np.zeros((0, 3), np.int64)
+    starts = starts[np.lexsort((starts[:, 0], starts[:, 0] - starts[:, 1]))]
+    apart = starts[:, 0] - starts[:, 1]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(starts[:, 0]) != 1) | (np.diff(apart) != 0)]))
+    size = np.diff(np.append(first, len(starts))) + RUN - 1
+    runs = np.column_stack([starts[first], size])
+    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+    rows = runs.tolist()
+    group = list(range(len(rows)))
+    total = [n for _, _, n in rows]
+    longest = int(runs[:, 2].max())
+
+    def top(k: int) -> int:
+        while group[k] != k:
+            group[k] = group[group[k]]
+            k = group[k]
+        return k
+
+    for k, (d, i, _) in enumerate(rows):
         for j in range(k - 1, -1, -1):
-            dj, ij, nj = stretches[j]
-            if d - dj > GAP + longest:
+            dj, ij, nj = rows[j]
+            if d - dj > longest + EXCHANGED:
                 break
-            if dj < d and ij < i and d - dj - nj <= GAP:
-                common = max(0, dj + nj - d, ij + nj - i)
-                if common < min(n, nj):
-                    top = max(top, best[j] + n - common)
-        best.append(top)
-        total = max(total, top)
-    return total / max(1, len(item))
+            if -RUN <= d - dj - nj <= EXCHANGED and -RUN <= i - ij - nj <= EXCHANGED and i > ij:
+                a, b = top(j), top(k)
+                if a != b:
+                    group[b] = a
+                    total[a] += total[b]
+    return runs[[total[top(k)] >= least for k in range(len(rows))]]
+
+
+def ordered_letters(runs: np.ndarray, size: int) -> int:
+    """Letters of the item in the longest chain of equal letters of the runs, each later in both texts than the one before.
+
+    A gap of at most EXCHANGED letters in both texts is an exchanged word, which
+    counts as held.
+    """
+    if not len(runs):
+        return 0
+    n = runs[:, 2]
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    d, i = np.repeat(runs[:, 0], n) + k, np.repeat(runs[:, 1], n) + k
+    key = np.unique(d * size + (size - 1 - i))  # by place in the document, places in the item falling: no two of one letter chain
+    d, i = (key // size).tolist(), (size - 1 - key % size).tolist()
+    tails: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(i)
+    for n, x in enumerate(i):
+        p = bisect_left(tails, x)
+        before[n] = last[p - 1] if p else -1
+        if p == len(tails):
+            tails.append(x)
+            last.append(n)
+        else:
+            tails[p], last[p] = x, n
+    held, n = len(tails), last[-1]
+    while before[n] >= 0:
+        b = before[n]
+        if 1 < i[n] - i[b] <= EXCHANGED + 1 and d[n] - d[b] <= EXCHANGED + 1:
+            held += i[n] - i[b] - 1
+        n = b
+    return held
 
 
 def find_leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
@@ -200,8 +327,7 @@ def find_leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
         def run(batches: Iterator[pd.DataFrame], block: Items = block) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for lo in range(0, len(b), 256):  # bounds the arrays of positions
-                    yield _search(b.iloc[lo : lo + 256], block, key, min_share)
+                yield _search(b, block, key, min_share)
 
         parts.append(rows.mapInPandas(run, schema))
     if not parts:
@@ -224,19 +350,10 @@ def _blocks(items: DataFrame) -> Iterator[Items]:
 
 def _search(b: pd.DataFrame, items: Items, key: str, min_share: float) -> pd.DataFrame:
     docs = [letters(t) for t in b["__text"]]
-    codes, first = _codes(docs)
-    prints = simhashes(shingle_hashes(codes), WINDOW)
-    owner = np.searchsorted(first, np.arange(len(prints)), side="right") - 1
-    sizes = np.array([len(t) for t in docs])
-    inside = np.arange(len(prints)) + WINDOW + SHINGLE - 1 <= first[owner] + sizes[owner] if len(prints) else np.zeros(0, bool)
-    places = np.arange(len(prints)) - first[owner] if len(prints) else np.zeros(0, np.int64)
-    pairs = items.candidates(prints[inside], owner[inside], places[inside])
-    pairs += [(d, i, 0, len(t)) for i in items.short for d, t in enumerate(docs) if t]
     keys = b[key].tolist()
     out = []
-    for d, i, a, z in sorted(pairs):
-        n = len(items.texts[i]) + GAP
-        share = items.held(docs[d][max(0, a - n) : z + n + WINDOW], i) if len(items.texts[i]) >= RUN else float(items.texts[i] in docs[d])
+    for d, i in items.candidates(docs):
+        share = items.held(docs[d], i, min_share)
         if share > min_share:
             out.append((keys[d], items.ids[i], share))
     return pd.DataFrame(out, columns=[key, "item_id", "share"])
