@@ -2,17 +2,20 @@
 
 A user's messages form one channel in which several exchanges may interleave.
 ``link_replies`` scores every candidate reply link (an earlier message of the
-channel at most ``GAP`` seconds before, or reached over messages that are each
-no further apart) by time, turn-taking, mentions and lexical overlap, and picks
-the likeliest parent. A message without a candidate is a root; a tree of links
-is a conversation. As every message within the gap has a parent, a tree is the
-run of messages from one root up to the next in order of (ts, id).
+channel at most ``GAP`` seconds before) by time, turn-taking, mentions and
+lexical overlap, and picks the likeliest parent. A message without a candidate
+opens a conversation, which by definition runs up to the next such message in
+order of (ts, id). Within it a link of at least MIN_SCORE makes a message part
+of its parent's thread; with a lower one it begins a thread of its own. Threads
+are the trees of these links: they take interleaved exchanges apart.
 
 Scale. A channel may hold a third of all messages, so no step gathers a channel:
 it is cut into time buckets of ``BUCKET`` seconds; each bucket is given the
 last ``GAP`` seconds before it as a halo, so links are exact across cuts. What
-goes from bucket to bucket (the time of the last message and the last root) is
-one row per bucket. Conversations are summarised by partial aggregates.
+goes from bucket to bucket (the last root) is one row per bucket. A task
+follows links to the root of a tree within its bucket; where a tree comes in
+from the bucket before, pointer doubling over the few messages at such seams
+finds the root. Conversations are summarised by partial aggregates.
 
 Cases. Rows without user_id, id or ts belong to no conversation. Deliveries of
 one id count once. A ts beyond 1e11 is in milliseconds, beyond 1e14 in
@@ -43,6 +46,7 @@ ROLES = {
 # Weights of a link's score; the time term falls without bound, the rest is bounded by BONUS.
 W_TIME, W_TURN, W_MENTION, W_LEXICAL = 1.0, 0.7, 0.5, 1.0
 BONUS = W_TURN + W_MENTION + W_LEXICAL
+MIN_SCORE = -2.0  # of a reply: some seven minutes for a turn of the other side, longer the more words agree
 
 
 def clean_role(column: Column | str) -> Column:
@@ -84,7 +88,7 @@ def link_score(dt: float, turn: bool, mention: bool, overlap: float) -> float:
 
 
 def _parents(ts: list, ids: list, roles: list, texts: list, first: list | None = None) -> tuple[list, list]:
-    """The likeliest parent of each message of ordered channels; first: where the channel of each message begins.
+    """Where the likeliest parent of each message of ordered channels stands, and its score; first: where the channel of each message begins.
 
     Going back in time stops, exactly, where even the full bonus loses.
     """
@@ -107,41 +111,76 @@ def _parents(ts: list, ids: list, roles: list, texts: list, first: list | None =
             j -= 1
         grams.append(g)
         if at is not None:
-            parent[i], score[i] = ids[at], best
+            parent[i], score[i] = at, best
     return parent, score
 
 
+COLUMNS = ["user", "bucket", "ts", "id", "role", "content", "parent", "score", "tree", "open"]
+
+
 def _link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by user, bucket, ts, id; a group may span batches."""
-    rest: pd.DataFrame | None = None
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         begins = ((part.user != part.user.shift()) | (part.bucket != part.bucket.shift())).to_numpy()
         first = np.maximum.accumulate(np.where(begins, np.arange(len(part)), 0)).tolist()
-        p, s = _parents(part.ts.tolist(), part.id.tolist(), part.role.tolist(), part.text.tolist(), first)
-        x = part.assign(parent=pd.array(p, dtype="Int64"), score=s)[~part.halo.to_numpy()]
-        return x[["user", "bucket", "ts", "id", "role", "content", "parent", "score"]]
-
+        ids, halo = part.id.tolist(), part.halo.to_numpy()
+        at, score = _parents(part.ts.tolist(), ids, part.role.tolist(), part.text.tolist(), first)
+        tree, open_ = list(ids), halo.tolist()  # what is before the bucket is followed there
+        for k, (j, s) in enumerate(zip(at, score)):
+            if j is not None and s >= MIN_SCORE and not halo[k]:
+                tree[k], open_[k] = tree[j], open_[j]
+        parent = pd.array([None if j is None else ids[j] for j in at], dtype="Int64")
+        return part.assign(parent=parent, score=score, tree=tree, open=open_)[~halo][COLUMNS]
+
+    rest: list[pd.DataFrame] = []  # of the group that may go on
     for b in batches:
-        if rest is not None:
-            b = pd.concat([rest, b], ignore_index=True)
         if b.empty:
             continue
-        last = (b.user == b.user.iloc[-1]) & (b.bucket == b.bucket.iloc[-1])
-        rest = b[last]
-        if not last.all():
-            yield solve(b[~last])
-    if rest is not None and len(rest):
-        yield solve(rest)
+        user, bucket = b.user.iloc[-1], b.bucket.iloc[-1]
+        last = ((b.user == user) & (b.bucket == bucket)).to_numpy()
+        if last.all() and (not rest or (rest[-1].user.iloc[-1], rest[-1].bucket.iloc[-1]) == (user, bucket)):
+            rest.append(b)
+            continue
+        yield solve(pd.concat([*rest, b[~last]], ignore_index=True))
+        rest = [b[last]]
+    if rest:
+        yield solve(pd.concat(rest, ignore_index=True))
 
 
 def link_replies(df: DataFrame) -> DataFrame:
-    """(user, bucket, ts, id, role, content, parent, score) for clean messages; parent null marks a root."""
+    """(user, bucket, ts, id, role, content, parent, score, tree, open) for clean messages.
+
+    A null parent marks the first message of a conversation. ``tree`` is the
+    root of the thread or, where ``open``, the message before the bucket that
+    the thread goes back to.
+    """
     bucket = F.floor(F.col("ts") / BUCKET).cast("long")
     last = F.floor((F.col("ts") + GAP) / BUCKET).cast("long")
     spread = df.withColumn("own", bucket).withColumn("bucket", F.explode(F.sequence(bucket, last))).withColumn("halo", F.col("bucket") != F.col("own")).drop("own")
     ordered = spread.repartition("user", "bucket").sortWithinPartitions("user", "bucket", "ts", "id")
-    return ordered.mapInPandas(_link, "user string, bucket long, ts double, id long, role string, content boolean, parent long, score double")
+    return ordered.mapInPandas(_link, "user string, bucket long, ts double, id long, role string, content boolean, parent long, score double, tree long, open boolean")
+
+
+def seams(links: DataFrame) -> DataFrame:
+    """(id, root): the root of the thread of every message that a later bucket goes back to.
+
+    Each round doubles how far back a message sees, so a thread that runs
+    through n buckets takes log2(n) rounds.
+    """
+    entries = links.filter("open").select(F.col("tree").alias("id")).distinct()
+    hops = settle(links.select("id", "tree", "open").join(entries, "id"))
+    while hops.filter("open").limit(1).count():
+        far = hops.select(F.col("id").alias("tree"), F.col("tree").alias("far"), F.col("open").alias("further"))
+        hops = settle(hops.join(far, "tree", "left").select("id", F.when(F.col("open"), F.col("far")).otherwise(F.col("tree")).alias("tree"), (F.col("open") & F.col("further")).alias("open")))
+    return hops.select("id", F.col("tree").alias("root"))
+
+
+def threads(links: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """``links`` with ``thread``: the id of the first message of its tree; ``linked``: all links, if these are some of them."""
+    far = seams(links if linked is None else linked).select(F.col("id").alias("tree"), "root")
+    whole = links.filter("not open").withColumn("thread", F.col("tree"))
+    return whole.unionByName(links.filter("open").join(far, "tree").withColumn("thread", F.col("root")).select(*links.columns, "thread"))
 
 
 def conversations(links: DataFrame) -> DataFrame:
@@ -188,7 +227,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
-    """Usable conversations with their turns in order, one row per turn."""
+    """Usable conversations with their turns in order and the threads they form, one row per turn."""
     linked = settle(link_replies(messages(table(spark, d, "messages"))))
     good = conversations(linked).filter("why is null").select("user", "root", "first_id", "last_id")
     starts = good.select("user", F.col("first_id").alias("id"), F.col("last_id").alias("stop"))
@@ -196,14 +235,15 @@ def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
     place = W.partitionBy("user", "bucket").orderBy("ts", "id")
     marked = linked.join(starts, ["user", "id"], "left").join(ends, ["user", "id"], "left")
     own = F.last(F.when(F.col("parent").isNull(), F.struct(F.col("id").alias("first_id"), F.col("stop"))), ignorenulls=True).over(place.rowsBetween(W.unboundedPreceding, 0))
-    inside = marked.withColumn("tree", own)
+    inside = marked.withColumn("whole", own)
     tails = marked.filter("parent is null").groupBy("user", "bucket").agg(F.max_by(F.struct(F.col("id").alias("first_id"), "stop"), F.struct("ts", "id")).alias("tail"))
     buckets = linked.groupBy("user", "bucket").agg(F.lit(1).alias("x")).drop("x").join(tails, ["user", "bucket"], "left")
     carried = buckets.select("user", "bucket", F.last("tail", ignorenulls=True).over(W.partitionBy("user").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
-    named = inside.join(carried, ["user", "bucket"]).withColumn("tree", F.coalesce("tree", "carried"))
-    return named.filter(F.col("tree.stop").isNotNull()).select(
-        F.upper("user").alias("user_id"), F.col("tree.first_id").alias("conversation_id"), "id", "ts", "role", "content", "parent", F.round("score", 6).alias("score")
-    )
+    named = inside.join(carried, ["user", "bucket"]).withColumn("whole", F.coalesce("whole", "carried"))
+    return threads(named.filter(F.col("whole.stop").isNotNull()), linked).select(
+        F.upper("user").alias("user_id"), F.col("whole.first_id").alias("conversation_id"), F.col("thread").alias("thread_id"), "id", "ts", "role", "content",
+        F.when(F.col("score") >= MIN_SCORE, F.col("parent")).alias("parent"), F.round("score", 6).alias("score"),
+    )
 
 
 QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations}
