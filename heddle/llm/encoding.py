@@ -1,21 +1,26 @@
 """Garbled text from wrong character encoding (problem 5).
 
 A transformation is a pair of codecs (wrong, right): the bytes of a text in
-``right`` were read as ``wrong``. ``find_garbled`` marks stretches that some
-transformation explains and that no clean text has. ``learn_transformations``
-joins garbled records with clean near-twins (equal once all non-ASCII
-characters are stripped), aligns the characters of each pair and counts which
-transformation maps the twin's stretch to the garbled one. ``restore`` undoes
-the learned transformations first, in order of their counts, then the others of
-the catalogue, for records without a twin.
-
-Scale. Marking and restoring are maps over Arrow batches. The twin join is an
-equi-join on a hash of the stripped text between the garbled records (few) and
-the clean ones; what it leaves behind is one count per transformation.
+``right`` were read as ``wrong``. Records with characters that no clean text of
+the six languages has are suspects. ``learn_transformations`` joins stretches
+of suspects with clean near-twins: runs of five words that are equal once all
+non-ASCII characters are stripped and that hold TWIN characters at least. The
+characters of each pair are aligned, and every transformation that maps the
+clean stretch to the suspect's gets a vote. ``garbled_spans`` then marks, in
+all suspects, what the learned transformations explain, in order of their
+votes. Only where something unusual is left does a catalogue of further codec
+pairs follow, for what no twin has taught.
+
+Scale. The suspects are picked by one character class in the scan. Twins meet in
+an equi-join on a hash of their stripped words; repeated stretches shrink in a
+partial aggregate on either side, so what many records share is one row. The
+votes come back as one count per transformation. Marking and restoring are one
+map over the suspects.
 
 Cases. Null and empty texts are clean. Characters lost for good (U+FFFD) mark a
 record, though only other stretches of it can be restored. Signs such as
-(c), +-, 1/2 that stand alone are clean, and so are accented names.
+(c), +-, 1/2 that stand alone are clean, and so are accented names. Without a
+twin nothing is learned and the catalogue alone decides.
 """
 
 from __future__ import annotations
@@ -87,11 +92,12 @@ _FOREIGN = re.compile(r"[Ā-ŒŔ-ſƀ-˅ˈ-˙̀-෿຀-῿]+")
 _MIXED = re.compile(r"[A-Za-z](?:[^\x00-\x7f฀-๛　-ヿ一-鿿’‘'‐‑·­¬–—…“”]+)(?=[A-Za-z])|(?<![^\s(«“„])[^\x00-\x7f฀-๛‐-‧　-ヿ一-鿿](?=[a-z]{2})")
 
 Span = tuple[int, int, str, str, str | None]  # start, end, wrong, right, restored
+Pairs = tuple[tuple[str, str], ...] | None  # transformations; None: the whole catalogue
 
 
-def _utf8_spans(text: str) -> list[Span]:
+def _utf8_spans(text: str, pairs: Pairs = None) -> list[Span]:
     out: list[Span] = []
-    for codec in SINGLE:
+    for codec in SINGLE if pairs is None else [w for w, r in pairs if r == "utf-8" and w in SINGLE]:
         for m in _single(codec)[1].finditer(text):
             raw = _back(m.group(), codec)
             try:
@@ -121,12 +127,12 @@ def _share(made: str) -> float:
     return sum(_sensible(c) for c in made) / max(1, len(made))
 
 
-def _wide_spans(text: str) -> list[Span]:
+def _wide_spans(text: str, pairs: Pairs = None) -> list[Span]:
     """UTF-8 read as a two-byte East Asian code."""
     out: list[Span] = []
     for m in _WIDE.finditer(text):
         run = m.group()
-        for codec in DOUBLE:
+        for codec in DOUBLE if pairs is None else [w for w, r in pairs if r == "utf-8" and w in DOUBLE]:
             raw = run.encode(codec, "ignore")
             if len(raw) < 1.2 * len(run):
                 continue
@@ -138,7 +144,7 @@ def _wide_spans(text: str) -> list[Span]:
     return out
 
 
-def _legacy_spans(text: str) -> list[Span]:
+def _legacy_spans(text: str, pairs: Pairs = None) -> list[Span]:
     """A legacy code of non-Latin script read as a Latin one: long runs of high characters."""
     out: list[Span] = []
     for m in _HIGH.finditer(text):
@@ -149,19 +155,23 @@ def _legacy_spans(text: str) -> list[Span]:
         for wrong in ("cp1252", "latin-1", "mac_roman"):
             raw = _back(run, wrong)
             for right in LEGACY if raw else ():
+                if pairs is not None and (wrong, right) not in pairs:
+                    continue
                 try:
                     made = raw.decode(right)
                 except UnicodeDecodeError:
                     continue
                 if _sensible(made) and re.search("[฀-๛぀-ヿ一-鿿]", made):
                     found.append((m.start(), m.end(), wrong, right, made))
-        out += found[:1] or [(m.start(), m.end(), "?", "?", None)]
+        out += found[:1] or ([(m.start(), m.end(), "?", "?", None)] if pairs is None else [])
     return out
 
 
-def _foreign_spans(text: str) -> list[Span]:
+def _foreign_spans(text: str, pairs: Pairs = None) -> list[Span]:
     """Thai in TIS-620 read as UTF-8, with what was not well-formed left out: letters of rare scripts."""
     out: list[Span] = []
+    if pairs is not None and ("utf-8", "tis-620") not in pairs:
+        return out
     for m in _FOREIGN.finditer(text):
         try:
             made = m.group().encode("utf-8").decode("tis-620")
@@ -172,7 +182,7 @@ def _foreign_spans(text: str) -> list[Span]:
     return out if sum(e - s for s, e, *_ in out) >= 2 else []
 
 
-def _letter_spans(text: str) -> list[Span]:
+def _letter_spans(text: str, pairs: Pairs = None) -> list[Span]:
     """Accented letters of one single-byte code read as another."""
     found: dict[tuple[str, str], list[Span]] = {}
     odd = [(m.end() - len(run), m.end(), run) for m in _MIXED.finditer(text) for run in [m.group().lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] if run and not re.fullmatch(f"[{LETTERS}]+", run)]
@@ -180,7 +190,7 @@ def _letter_spans(text: str) -> list[Span]:
         return []
     for wrong in ("cp1252", "latin-1", "mac_roman", "cp437", "cp850"):
         for right in ("cp1252", "mac_roman", "cp437", "cp850"):
-            if wrong == right:
+            if wrong == right or pairs is not None and (wrong, right) not in pairs:
                 continue
             for s, e, run in odd:
                 raw = _back(run, wrong)
@@ -209,18 +219,40 @@ def _apply(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
-_CLEAN = re.compile(r"[\x00-\x7fก-ฺ฿-๛“”’…]*")
-_CLEAN_THAI = re.compile("เธ|เน[^ะ-ฺเ-๎]|โ€|[A-Za-z][ก-๛]")  # the last: Latin words may hold Thai letters for accented ones
+# What no clean text of the six languages has: characters of none of them, and sequences that arise when bytes are read wrongly.
+_ODD = (
+    rf"[^฀-๛　-ヿ一-鿿＀-￯{LETTERS}{SIGNS}\s\x20-\x7e‹›‐‑−≤≥→←†‡✓★♥]|[\x80-\x9f\ufffd]|[ÂÃ][\xa0-\xbf]|â€|เ[ธน].เ[ธน]|โ€|[A-Za-z][รยล][€…‘’“”•–—\xa0ก-ฟ]"
+    r"|‚Ä[^a-z]|[a-zß-ÿ][À-ÞŒ]|[a-z][«»·§€£©®™±½¼¾×²³µ¡¿‚†‡][a-zß-ÿ]|[†‡‚„]{2}|[‡∏]"
+)
+_SUSPECT = re.compile(_ODD)
+
+
+def _spans(text: str, pairs: Pairs = None) -> list[Span]:
+    """What the transformations explain, in any order, with overlaps."""
+    found = _utf8_spans(text, pairs) + _wide_spans(text, pairs) + _legacy_spans(text, pairs) + _foreign_spans(text, pairs)
+    return found or _letter_spans(text, pairs)
 
 
 def garbled_spans(text: str | None, learned: tuple[tuple[str, str], ...] = ()) -> list[Span]:
-    """Garbled stretches of a text, in order; empty for clean ones."""
-    if not text or (_CLEAN.fullmatch(text) and not _CLEAN_THAI.search(text)):
+    """Garbled stretches of a text, in order; empty for clean ones.
+
+    The learned transformations come first; the catalogue is asked where
+    something unusual lies outside of what they explain.
+    """
+    if not text or not _SUSPECT.search(text):
         return []
-    spans = _utf8_spans(text) + _wide_spans(text) + _legacy_spans(text) + _foreign_spans(text)
-    spans = spans or _letter_spans(text)
+    spans = _best(_spans(text, learned), learned) if learned else []
+    if not spans or _SUSPECT.search(_masked(text, spans)):
+        spans = _best(spans + _spans(_masked(text, spans)), learned)
     lost = [(m.start(), m.end(), "?", "?", None) for m in re.finditer("�+", text)]
-    return _best(spans, learned) + lost
+    return spans + [x for x in lost if all(x[1] <= s[0] or x[0] >= s[1] for s in spans)]
+
+
+def _masked(text: str, spans: list[Span]) -> str:
+    """The text with the spans blank, so that positions stay."""
+    for s, e, *_ in spans:
+        text = text[:s] + " " * (e - s) + text[e:]
+    return text
 
 
 def restore(text: str, learned: tuple[tuple[str, str], ...] = ()) -> str:
@@ -243,7 +275,7 @@ def align(garbled: str, clean: str) -> Counter:
     if len(a) != len(b):
         return votes
     for x, y in zip(a, b):
-        if x == y:
+        if x == y or "\ufffd" in x:  # what is lost tells nothing
             continue
         for right in ("utf-8", *LEGACY, "cp1252", "mac_roman", "cp850"):
             try:
@@ -256,53 +288,59 @@ def align(garbled: str, clean: str) -> Counter:
     return votes
 
 
-SCHEMA = "chunk_id string, text string, garbled boolean, skeleton string"
-SKELETON = 24  # characters that a twin must share at least
+WORDS, TWIN = 5, 15  # words of a stretch; ASCII characters that it must hold
 
 
-def find_garbled(df: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, text, garbled, skeleton): skeleton is the text stripped of all but visible ASCII."""
+def stretches(rows: DataFrame) -> DataFrame:
+    """(key, raw, n): runs of WORDS words with characters beyond ASCII, under a hash of what is left without those."""
+    words = rows.filter(F.col("text").rlike("[^\\x00-\\x7f]") & F.col("text").rlike("[A-Za-z]{3}")).select(F.split("text", "[ \\t\\r\\n]+").alias("w")).filter(F.size("w") >= WORDS)
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (WORDS - 1)), lambda i: F.array_join(F.slice("w", i, WORDS), " "))
+    one = words.select(F.explode(runs).alias("raw")).filter(F.col("raw").rlike("[^\\x00-\\x7f]")).withColumn("bare", F.regexp_replace("raw", r"[^\x21-\x7e]+", ""))
+    return one.filter(F.length("bare") >= TWIN).groupBy(F.xxhash64("bare").alias("key"), "raw").agg(F.count("*").alias("n"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(garbled=[bool(garbled_spans(t)) for t in b["text"]])
-
-    rows = df.select(F.col(key).alias("chunk_id"), F.col(text).alias("text"))
-    marked = rows.mapInPandas(run, "chunk_id string, text string, garbled boolean")
-    return marked.withColumn("skeleton", F.regexp_replace("text", r"[^\x21-\x7e]+", "")).withColumnRenamed("chunk_id", key)
 
-
-def learn_transformations(found: DataFrame) -> list[tuple[tuple[str, str], int]]:
-    """Transformations with the number of stretches that show them, most first; at most one per codec pair."""
-    long = found.filter(F.length("skeleton") >= SKELETON).select("text", "garbled", F.xxhash64("skeleton").alias("h"), "skeleton")
-    bad = long.filter("garbled").select(F.col("text").alias("bad"), "h", F.col("skeleton").alias("sk"))
-    # one clean twin per skeleton is enough: twins of a skeleton agree but for what is learned
-    good = long.filter("not garbled").groupBy("h", "skeleton").agg(F.min("text").alias("good"))
-    pairs = bad.join(good, (bad["h"] == good["h"]) & (bad["sk"] == good["skeleton"])).select("bad", "good")
+def learn_transformations(rows: DataFrame) -> list[tuple[tuple[str, str], int]]:
+    """Transformations with the number of stretches that show them, most first; at most one per codec pair. ``rows``: text, odd."""
+    bad = stretches(rows.filter("odd")).withColumnRenamed("raw", "bad")
+    good = stretches(rows.filter("not odd")).select("key", F.col("raw").alias("good"))
+    pairs = bad.join(good, "key").filter("bad <> good").select("bad", "good", "n")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         votes: Counter = Counter()
         for b in batches:
-            for x, y in zip(b["bad"], b["good"]):
-                votes.update(align(x, y))
+            for x, y, n in zip(b["bad"], b["good"], b["n"]):
+                for t, k in align(x, y).items():
+                    votes[t] += k * n
         yield pd.DataFrame([(w, r, n) for (w, r), n in votes.items()], columns=["wrong", "right", "n"])
 
     counts = pairs.mapInPandas(run, "wrong string, right string, n long").groupBy("wrong", "right").agg(F.sum("n").alias("n"))
     return [((r["wrong"], r["right"]), r["n"]) for r in counts.orderBy(F.desc("n"), "wrong", "right").collect()]
 
 
+def mark_suspects(df: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(key, text, odd): odd texts have what clean ones have not."""
+    return df.select(key, F.col(text).alias("text")).withColumn("odd", F.coalesce(F.col("text").rlike(_ODD), F.lit(False)))
+
+
 def restore_garbled(df: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, text, restored, complete) of garbled records; complete: nothing garbled is left."""
-    found = settle(find_garbled(df, key, text))
-    learned = tuple(t for t, _ in learn_transformations(found))
+    """(key, text, restored, complete, learned) of garbled records.
+
+    complete: nothing garbled is left; learned: the transformations learned from
+    twins explain something of it.
+    """
+    rows = settle(mark_suspects(df, key, text))
+    pairs = tuple(t for t, _ in learn_transformations(rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [restore(t, learned) for t in b["text"]]
-            yield b.assign(restored=made, complete=[not garbled_spans(t) for t in made])
-
-    bad = found.filter("garbled").select(F.col(key).alias("chunk_id"), "text")
-    return bad.mapInPandas(run, "chunk_id string, text string, restored string, complete boolean").withColumnRenamed("chunk_id", key)
+            spans = [garbled_spans(t, pairs) for t in b["text"]]
+            b = b[[bool(s) for s in spans]]
+            made = [restore(t, pairs) for t in b["text"]]
+            known = [any(x[2:4] in pairs for x in s) for s in spans if s]
+            yield b.assign(restored=made, complete=[not garbled_spans(t, pairs) for t in made], learned=known)
+
+    bad = rows.filter("odd").select(F.col(key).alias("chunk_id"), "text").repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+    return bad.mapInPandas(run, "chunk_id string, text string, restored string, complete boolean, learned boolean").withColumnRenamed("chunk_id", key)
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:

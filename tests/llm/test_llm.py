@@ -204,8 +204,7 @@ def test_twins_teach_transformations(spark):
     clean = "The BondScan score of item 12345 rose, said „Größe“ and über"
     bad = clean.encode().decode("latin-1")
     df = spark.createDataFrame([("a", clean), ("b", bad), ("c", None), ("d", "")], "chunk_id string, text string")
-    found_ = encoding.find_garbled(df)
-    assert encoding.learn_transformations(found_)[0][0] == ("latin-1", "utf-8")
+    assert encoding.learn_transformations(encoding.mark_suspects(df))[0][0] == ("latin-1", "utf-8")
     got = encoding.restore_garbled(df).collect()
     assert [(r.chunk_id, r.restored, r.complete) for r in got] == [("b", clean, True)]
     assert encoding.restore_garbled(df.limit(0)).count() == 0
