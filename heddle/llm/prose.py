@@ -99,32 +99,6 @@ FIELDS = re.compile(r"\s*[;|\t]\s*|\s{2,}|\s[·>/]\s")
 COMMAS = re.compile(r",(?=\S)")
 
 
-_LETTER_RUN = re.compile(r"(?:[^\W\d_]|[ัิ-ฺ็-๎])+")
-_DIGIT_RUN = re.compile(r"\d+")
-_SPACE_RUN = re.compile(r"\s+")
-_TOKEN = re.compile(r"[\x21-\x7e]{24,}")
-
-
-def _amount(run: re.Pattern, s: str) -> int:
-    """Characters in runs of a kind."""
-    return len(s) - len(run.sub("", s))
-
-
-def _counts(unit: str) -> tuple[int, int, int]:
-    """(content size, function words, words): words of spaced scripts; others count pieces of a usual word's length."""
-    latin = _LATIN.findall(unit.lower())
-    wide = not unit.isascii()
-    thai = "".join(_THAI_LETTERS.findall(unit)) if wide else ""
-    kana, han = (_amount(_KANA, unit), _amount(_HAN, unit)) if wide else (0, 0)
-    func = sum(map(_WORDS.__contains__, latin)) + (len(_THAI.findall(thai)) if thai else 0)
-    if kana:
-        func += len(_JAPANESE.findall(unit))
-    elif han:
-        func += len(_CHINESE.findall(unit))
-    words = len(latin) + (len(thai) + 4) // 5 + (kana + han + 1) // 2
-    return sum(map(len, latin)) + len(thai) + 2 * (kana + han), func, words
-
-
 def line_kind(s: str, n: dict[str, int]) -> str:
     """'' for a stripped line that may be prose, else why it is none; n: its counts."""
     visible = n["visible"]
