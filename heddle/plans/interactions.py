@@ -69,17 +69,22 @@ select q.user_id a, u.user_id b from q join u on list_contains(q.demographic.see
 where q.consent.matching and u.consent.matching and not exists (select 1 from b where b.a = q.user_id and b.b = u.user_id)"""
 
 
+SALT = 16
+
+
 def _candidate_pairs(spark, d):
     """(a, b): the stated query users (number divisible by 100) against all, both in each other's sought genders.
 
     An equi-join on (gender of one, sought gender of the other) in both
-    directions; every sought gender is a row of its own.
+    directions; every sought gender is a row of its own. A handful of genders
+    holds everybody, so the larger side is spread over SALT parts of each, and
+    the query users are repeated in all of them.
     """
     u = users(spark, d, "demographic", "consent").filter("consent.matching and demographic.gender is not null").select("user_id", F.col("demographic.gender").alias("g"), F.array_distinct("demographic.seeking").alias("s"))
     q = u.filter(F.regexp_extract("user_id", r"(\d+)$", 1).try_cast("long") % 100 == 0)
-    left = q.select(F.col("user_id").alias("a"), F.col("g").alias("ga"), F.explode("s").alias("gb"))
-    right = u.select(F.col("user_id").alias("b"), F.col("g").alias("gb"), F.explode("s").alias("ga"))
-    pairs = left.join(right, ["ga", "gb"]).filter("a <> b").select("a", "b")
+    left = q.select(F.col("user_id").alias("a"), F.col("g").alias("ga"), F.explode("s").alias("gb")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    right = u.select(F.col("user_id").alias("b"), F.col("g").alias("gb"), F.explode("s").alias("ga")).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)).cast("int"))
+    pairs = left.join(right, ["ga", "gb", "salt"]).filter("a <> b").select("a", "b")
     e = match_events(spark, d, "event_type").filter("event_type in ('unmatch', 'pass')")
     return pairs.join(feedback.both_ways(e, "from_user", "about_user"), ["a", "b"], "left_anti")
 
