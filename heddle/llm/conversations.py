@@ -131,7 +131,8 @@ def _link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if j is not None and s >= MIN_SCORE and not halo[k]:
                 tree[k], open_[k] = tree[j], open_[j]
         parent = pd.array([None if j is None else ids[j] for j in at], dtype="Int64")
-        return part.assign(parent=parent, score=score, tree=tree, open=open_)[~halo][COLUMNS]
+        own = part.assign(parent=parent, score=score, tree=tree, open=open_)[~halo][COLUMNS]
+        return own.astype({"user": object, "role": object})  # joined frames hold their strings in several pieces
 
     rest: list[pd.DataFrame] = []  # of the group that may go on
     for b in batches:

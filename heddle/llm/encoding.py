@@ -333,11 +333,13 @@ def restore_garbled(df: DataFrame, key: str = "chunk_id", text: str = "text") ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            spans = [garbled_spans(t, pairs) for t in b["text"]]
-            b = b[[bool(s) for s in spans]]
-            made = [restore(t, pairs) for t in b["text"]]
-            known = [any(x[2:4] in pairs for x in s) for s in spans if s]
-            yield b.assign(restored=made, complete=[not garbled_spans(t, pairs) for t in made], learned=known)
+            out = []
+            for k, t in zip(b["chunk_id"], b["text"]):
+                spans = garbled_spans(t, pairs)
+                if spans:
+                    made = restore(t, pairs)
+                    out.append((k, t, made, not garbled_spans(made, pairs), any(x[2:4] in pairs for x in spans)))
+            yield pd.DataFrame(out, columns=["chunk_id", "text", "restored", "complete", "learned"])
 
     bad = rows.filter("odd").select(F.col(key).alias("chunk_id"), "text").repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
     return bad.mapInPandas(run, "chunk_id string, text string, restored string, complete boolean, learned boolean").withColumnRenamed("chunk_id", key)
