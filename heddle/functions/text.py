@@ -5,6 +5,8 @@ Null in, null out.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 THAI = r"[฀-๿]"
@@ -114,3 +116,46 @@ def digest(*columns: Column) -> Column:
 
 def edge_id(source: Column, relation: Column, target: Column, discriminator: Column) -> Column:
     return F.concat(F.lit("edge:"), F.substring(digest(source, relation, target, discriminator), 1, 24))
+
+
+def quoted(word: str) -> str:
+    """A word as a pattern that matches itself, in Java and in RE2."""
+    return "".join("\\" + c if c in r"\.[]{}()*+?^$|/-" else c for c in word)
+
+
+def keyword_pattern(word: str, negation: bool = True, near: Sequence[str] = (), not_after: Sequence[str] = (), not_before: Sequence[str] = ()) -> str:
+    """A pattern for one keyword as a whole ASCII word or a stretch of another script.
+
+    ``negation``: not right after a Thai "not" and at most four letters (which
+    "no matter" does not count as); ``near``: one of these within 60 characters;
+    ``not_after``, ``not_before``: what must not touch it.
+    """
+    core = rf"\b{quoted(word)}\b" if word.isascii() else quoted(word)
+    behind = rf"(?<!{'|'.join(map(quoted, not_after))})" if not_after else ""
+    ahead = rf"(?!{'|'.join(map(quoted, not_before))})" if not_before else ""
+    no = r"(?<!ไม่(?!ว่า)\S{0,4})" if negation else ""
+    one = f"{no}{behind}{core}{ahead}"
+    if not near:
+        return "(?i)" + one
+    words = "|".join(map(quoted, near))
+    return rf"(?i)(?:(?<=(?:{words})[\s\S]{{0,60}}){one}|{one}(?=[\s\S]{{0,60}}(?:{words})))"
+
+
+def keyword_counts(c: Column, keywords: dict[str, Sequence[str]]) -> Column:
+    """Map of id to the number of matches of its patterns, ids without one left out: one row in, one row out, no shuffle."""
+    entries = [F.struct(F.lit(k).alias("key"), sum(F.regexp_count(c, F.lit(p)) for p in ps).alias("value")) for k, ps in keywords.items()]
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"] > 0))
+
+
+def first_of(c: Column, words: Sequence[str]) -> Column:
+    """The first of ``words`` that the text holds, null if none."""
+    return F.coalesce(*[F.when(F.contains(c, F.lit(w)), F.lit(w)) for w in words])
+
+
+def any_of(c: Column, words: Sequence[str]) -> Column:
+    return c.rlike("|".join(map(quoted, words)))
+
+
+def bigram_jaccard(a: Column, b: Column) -> Column:
+    """Likeness of two words by their pairs of neighbouring letters, white space and case apart."""
+    return jaccard(grams(F.lower(a), 2), grams(F.lower(b), 2))

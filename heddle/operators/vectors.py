@@ -3,54 +3,71 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from heddle.operators.ranking import top_k
+from heddle.sources.files import scratch
 
 QUERY_BLOCK = 4096
 
 
-def search(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, within: str | None = None) -> DataFrame:
     """(query_id, key, score, rank): the k rows of largest dot product for each query, itself left out.
 
-    Blocks of queries are sent with the tasks; a task multiplies a batch by a
-    block and keeps the k best of each query, ties by key. Null vectors match
-    nothing. Scores have six decimals.
+    With ``within`` the k best of each of its values, which is added. A block of
+    queries is sent with the tasks; a task multiplies a batch by it and keeps
+    the k best of each query, ties by key. Null vectors match nothing. Scores
+    have six decimals. Where one block is not enough, each is a job of its own
+    that adds to a table in the shared folder, so that the driver never holds
+    more than QUERY_BLOCK vectors.
     """
-    schema = f"query_id {dict(queries.dtypes)[key]}, `{key}` {dict(rows.dtypes)[key]}, score double"
-    parts, block = [], []
-
-    def flush() -> None:
-        ids = np.array([r[0] for r in block])
-        matrix = np.array([r[1] for r in block], np.float64)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                b = b[b[vector].notna()]
-                if b.empty:
-                    continue
-                own = b[key].to_numpy()
-                scores = np.round(matrix @ np.stack(b[vector].to_numpy()).astype(np.float64).T, 6)
-                scores[ids[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-                q = np.repeat(np.arange(len(ids)), order.shape[1])
-                o = order.ravel()
-                out = pd.DataFrame({"query_id": ids[q], key: own[o], "score": scores[q, o]})
-                yield out[out.score > -np.inf]
-
-        parts.append(rows.select(key, vector).mapInPandas(run, schema))
-        block.clear()
-
+    spark = queries.sparkSession
+    extra = [within] if within else []
+    fields = f"query_id {dict(queries.dtypes)[key]}, `{key}` {dict(rows.dtypes)[key]}, score double" + "".join(f", `{c}` {dict(rows.dtypes)[c]}" for c in extra)
+    group = ["query_id", *extra]
+    out: str | None = None
+    held: list[Row] = []
     for r in queries.filter(F.col(vector).isNotNull()).select(key, vector).toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == QUERY_BLOCK:
-            flush()
-    if block:
-        flush()
-    if not parts:
-        return queries.sparkSession.createDataFrame([], schema + ", rank int")
-    return top_k(reduce(DataFrame.unionByName, parts), ["query_id"], "score", key, k)
+        if len(held) == QUERY_BLOCK:
+            out = out or scratch(spark, "search")
+            _block(held, rows, key, vector, k, extra, fields).write.mode("append").parquet(out)
+            held = []
+        held.append(r)
+    if not held:
+        return spark.createDataFrame([], fields + ", rank int")
+    found = _block(held, rows, key, vector, k, extra, fields)
+    if out:
+        found.write.mode("append").parquet(out)
+        found = spark.read.schema(found.schema).parquet(out)
+    return top_k(found, group, "score", key, k)
+
+
+def _block(held: list[Row], rows: DataFrame, key: str, vector: str, k: int, extra: list[str], fields: str) -> DataFrame:
+    ids = np.array([r[0] for r in held])
+    matrix = np.array([r[1] for r in held], np.float64)
+
+    def best(own: np.ndarray, vectors: np.ndarray) -> pd.DataFrame:
+        scores = np.round(matrix @ vectors.T, 6)
+        scores[ids[:, None] == own[None, :]] = -np.inf
+        if scores.shape[1] > k:
+            least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+            q, o = np.nonzero(scores >= least[:, None])  # k of each query, and what ties with the last
+        else:
+            q, o = (x.ravel() for x in np.indices(scores.shape))
+        found = pd.DataFrame({"query_id": ids[q], key: own[o], "score": scores[q, o]})
+        found = found[found.score > -np.inf].sort_values(["query_id", "score", key], ascending=[True, False, True])
+        return found.groupby("query_id").head(k)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b[b[vector].notna()]
+            if b.empty:
+                continue
+            for value, part in b.groupby(extra[0]) if extra else [(None, b)]:
+                found = best(part[key].to_numpy(), np.stack(part[vector].to_numpy()).astype(np.float64))
+                yield found.assign(**{extra[0]: value}) if extra else found
+
+    return rows.select(key, vector, *extra).mapInPandas(run, fields)
