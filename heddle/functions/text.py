@@ -32,17 +32,18 @@ def clean_lines(c: Column, noise: str) -> Column:
 
 
 def join_lines(lines: Column) -> Column:
-    """One paragraph of an array of lines: no space between Thai letters, else one."""
-    def add(acc: Column, x: Column) -> Column:
-        glue = F.when(acc.rlike(THAI + "$") & x.rlike("^" + THAI), "").otherwise(" ")
-        return F.when(acc == "", x).otherwise(F.concat(acc, glue, x))
+    """One paragraph of an array of lines: no space between Thai letters, else one. Each line looks at the one before it only."""
+    def glued(x: Column, i: Column) -> Column:
+        left = F.get(lines, i - 1)
+        return F.when(i == 0, x).when(left.rlike(THAI + "$") & x.rlike("^" + THAI), x).otherwise(F.concat(F.lit(" "), x))
 
-    return F.aggregate(lines, F.lit(""), add)
+    return F.array_join(F.transform(lines, glued), "")
 
 
 def strip_citations(c: Column) -> Column:
-    """Without bracketed numbers such as [1] or [2, 3]."""
-    return F.regexp_replace(c, r"\s*\[\d+(?:\s*[,–-]\s*\d+)*\]", "")
+    """Without numbers of one or two digits in round brackets, such as (1) or (2, 3-5); blanks collapse, ends are trimmed."""
+    bare = F.regexp_replace(c, r"\(\d{1,2}(?:\s*[,\-–]\s*\d{1,2})*\)", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"[ \t\u00a0]+", " "), r"^\s+|\s+$", "")
 
 
 def redact_contacts(c: Column) -> Column:
@@ -71,7 +72,7 @@ def word_count(c: Column) -> Column:
 
 def grams(c: Column, n: int = 3) -> Column:
     """Distinct character n-grams without white space; empty for shorter texts. The look-ahead finds overlapping ones in one pass."""
-    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(c, r"\s+", ""), F.lit("(?=(" + "." * n + "))"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(c, r"\s+", ""), F.lit("(?s)(?=(" + "." * n + "))"), F.lit(1)))
 
 
 def overlap(query: Column, text: Column) -> Column:

@@ -1,12 +1,19 @@
-"""Lexical search: n-gram and BM25 statistics, postings and scores.
+"""Lexical search: terms, BM25 statistics and scores of a stated query set.
 
-A stated query set meets the whole corpus through postings: an equi-join on
-terms, of which the corpus side holds only terms that some query has.
+Only terms that some query has leave a row of the corpus: each row's terms are
+exploded against the queries' terms, which are broadcast while they are few,
+and counted per row. What is shuffled is the hits, not the corpus.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F
+
+from heddle.session import settle, small
+
+MOST_TERMS = 200_000  # terms of the queries that are sent to every task; beyond it they are joined
 
 
 def terms_of(c: Column) -> Column:
@@ -15,34 +22,61 @@ def terms_of(c: Column) -> Column:
     words = F.regexp_extract_all(t, F.lit(r"([a-zà-ÿ0-9]+)"), F.lit(1))
     rest = F.regexp_replace(t, r"[a-zà-ÿ0-9\s\p{P}\p{S}]+", "")
     # a look-ahead finds overlapping pieces in one pass; a lambda over positions would evaluate ``rest`` for each
-    pieces = F.regexp_extract_all(rest, F.lit(r"(?=(...))"), F.lit(1))
+    pieces = F.regexp_extract_all(rest, F.lit(r"(?s)(?=(...))"), F.lit(1))
     return F.concat(words, pieces)
 
 
-def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, size): term frequencies and the number of terms of each row; counting is partially aggregated."""
-    rows = df.select(key, terms_of(F.col(text)).alias("terms")).withColumn("size", F.size("terms"))
-    return rows.select(key, "size", F.explode("terms").alias("term")).groupBy(key, "term", "size").agg(F.count("*").alias("tf")).select(key, "term", "tf", "size")
+class Hits(NamedTuple):
+    """Terms that rows share with queries: ``met`` (key, term, size, tf), ``asked`` (query, term), rows and their mean size."""
 
+    met: DataFrame
+    asked: DataFrame
+    n: int
+    mean_size: float
+    key: str
+    query: str
 
-def bm25_statistics(posts: DataFrame, key: str, n_documents: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(term, df) and one row (n, mean_size)."""
-    frequency = posts.groupBy("term").agg(F.count("*").alias("df"))
-    sizes = posts.groupBy(key).agg(F.first("size").alias("size")).agg(F.count("*").alias("n"), F.avg("size").alias("mean_size"))
-    return frequency, sizes
 
+def hits(queries: DataFrame, query: str, query_text: str, df: DataFrame, key: str, text: str) -> Hits:
+    """One pass over the texts: hits are counted and written, rows and sizes observed on the way. Texts without a term are left out."""
+    asked = queries.select(query, F.explode(F.array_distinct(terms_of(F.col(query_text)))).alias("term"))
+    wanted = small(asked.select("term").distinct(), MOST_TERMS)
+    seen = Observation()
+    rows = df.filter(F.col(text).isNotNull()).select(key, terms_of(F.col(text)).alias("terms")).withColumn("size", F.size("terms")).filter("size > 0")
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    met = rows.select(key, "size", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy(key, "term", "size").agg(F.count("*").alias("tf"))
+    met = settle(met)
+    n, total = seen.get["n"] or 0, seen.get["total"] or 0
+    return Hits(met, asked, n, total / n if n else 0.0, key, query)
 
-def bm25(queries: DataFrame, query: str, query_text: str, posts: DataFrame, key: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query, key, score) of all rows that share a term with a query.
 
-    Only postings of the queries' terms are joined (a semi-join prunes the
-    corpus side before the shuffle when the queries are few).
-    """
-    asked = queries.select(query, F.explode(F.array_distinct(terms_of(F.col(query_text)))).alias("term"))
-    met = posts.join(asked.select("term").distinct(), "term", "left_semi")
-    frequency = met.groupBy("term").agg(F.count("*").alias("df"))
-    sizes = posts.groupBy(key).agg(F.first("size").alias("size")).agg(F.count("*").alias("n"), F.avg("size").alias("mean_size"))
-    scored = met.join(frequency, "term").join(asked, "term").join(F.broadcast(sizes), F.lit(True))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean_size")))
-    return scored.groupBy(query, key).agg(F.round(F.sum(part), 6).alias("score"))
+def idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def term_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, df) of a whole corpus: terms are made distinct within the row, then counted."""
+    rows = df.filter(F.col(text).isNotNull()).select(F.explode(F.array_distinct(terms_of(F.col(text)))).alias("term"))
+    return rows.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def bm25(h: Hits, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query, key, score) of all rows that share a term with a query."""
+    frequency = h.met.groupBy("term").agg(F.count("*").alias("df"))
+    scored = h.met.join(h.asked.join(frequency, "term"), "term")
+    part = idf(F.lit(h.n), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(h.mean_size)))
+    return scored.groupBy(h.query, h.key).agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def self_scores(h: Hits, k1: float = 1.5) -> DataFrame:
+    """(query, best): the score of a text of mean size that holds each of the query's terms once, to scale scores by."""
+    frequency = h.met.groupBy("term").agg(F.count("*").alias("df"))
+    known = h.asked.join(frequency, "term", "left").fillna(0, ["df"])
+    return known.groupBy(h.query).agg(F.round(F.sum(idf(F.lit(h.n), F.col("df"))), 6).alias("best"))
+
+
+def overlaps(h: Hits) -> DataFrame:
+    """(query, key, score): the share of a query's distinct terms that a row has; only rows with a term in common."""
+    n = h.asked.groupBy(h.query).agg(F.count("*").alias("n"))
+    met = h.met.join(h.asked.join(n, h.query), "term").groupBy(h.query, h.key, "n").agg(F.count("*").alias("hits"))
+    return met.select(h.query, h.key, F.round(F.col("hits") / F.col("n"), 6).alias("score"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -50,6 +51,19 @@ def reciprocal_rank_fusion(a: DataFrame, b: DataFrame, group: Sequence[str], key
     return both.join(worst, list(group)).select(*group, key, (part[0] + part[1]).alias("score"))
 
 
+def weighted_reciprocal_ranks(lists: Sequence[DataFrame], weights: Sequence[float], group: Sequence[str], key: str, k: int, constant: int = 60) -> DataFrame:
+    """(group, key, score, rank): the k largest sums of weight / (constant + rank), five places.
+
+    A list that lacks a key adds nothing. Ties keep the order in which the keys
+    were first seen, list after list. The lists carry ``rank``.
+    """
+    parts = [x.select(*group, key, F.lit(n).alias("__l"), "rank", (w / (constant + F.col("rank"))).alias("__s")) for n, (x, w) in enumerate(zip(lists, weights))]
+    both = reduce(DataFrame.unionByName, parts)
+    fused = both.groupBy(*group, key).agg(F.round(F.sum("__s"), 5).alias("score"), F.min(F.struct("__l", "rank")).alias("__first"))
+    place = F.row_number().over(W.partitionBy(*group).orderBy(F.desc("score"), "__first"))
+    return fused.withColumn("rank", place).filter(F.col("rank") <= k).drop("__first")
+
+
 def weighted_fusion(a: DataFrame, b: DataFrame, group: Sequence[str], key: str, alpha: float) -> DataFrame:
     """alpha x scaled score of a + (1 - alpha) x scaled score of b; a missing one counts 0. Inputs carry ``score``."""
     x = min_max(a.select(*group, key, "score"), group, "score", "sa").drop("score")

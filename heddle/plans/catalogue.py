@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession, Window as W, functions as F
 from heddle.functions import numbers as N
 from heddle.operators import graph, vectors
 from heddle.operators.references import clean_key
-from heddle.plans.knowledge import mth07_bm25_top
+from heddle.plans.knowledge import _L, mth07_bm25_top
 from heddle.plans.tables import CHUNKS, CLAIMS, EVENTS, MESSAGES, USERS, WS, chunks, claims, match_events, messages, users
 from heddle.session import table
 
@@ -103,13 +103,13 @@ def jn22_events_of_users(spark: SparkSession, d: str):
     return e.groupBy("user_id").agg(F.count("*").alias("n"), F.sum((F.col("event_type") == "unmatch").cast("int")).alias("n_unmatch"), F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"))
 
 
-@query()
+@query(_L + ", n0 as (select chunk_id, regexp_replace(chunk_id, '_c[0-9]+$', '') s, try_cast(regexp_extract(chunk_id, '_c([0-9]+)$', 1) as int) o from c), nb as (select a.chunk_id, b.chunk_id n from n0 a join n0 b on a.s = b.s and abs(a.o - b.o) = 1), se as (select * from top where rank <= 3) select qid, n chunk_id, max(score * 0.5) score from se join nb using (chunk_id) where not exists (select 1 from se x where x.qid = se.qid and x.chunk_id = n) group by all")
 def jn15_seed_neighbours(spark: SparkSession, d: str):
     """Chunks next to the three best of each question, at half of their score, unless they are seeds."""
     top = mth07_bm25_top(spark, d).filter("rank <= 3").select("qid", "chunk_id", "score")
     n = graph.next_chunks(chunks(spark, d))
     both = n.unionByName(n.select(F.col("next_id").alias("chunk_id"), F.col("chunk_id").alias("next_id")))
-    near = top.join(both, "chunk_id").groupBy("qid", F.col("next_id").alias("chunk_id")).agg(F.round(F.max(F.col("score") * 0.5), 6).alias("score"))
+    near = top.join(both, "chunk_id").groupBy("qid", F.col("next_id").alias("chunk_id")).agg(F.max(F.col("score") * 0.5).alias("score"))
     return near.join(top.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
 
 

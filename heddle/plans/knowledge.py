@@ -184,7 +184,10 @@ def win16_char_windows(spark: SparkSession, d: str):
     return x.select("chunk_id", F.expr("start div 450").alias("window_no"), "start", F.length(piece).alias("size"), F.substring(F.sha2(piece, 256), 1, 16).alias("digest"))
 
 
-@query()
+@query(f"""with {CHUNKS}, x as (select source_id, chunk_id, floor(length(coalesce(text, '')) / 1.6)::bigint + 1 cost from c),
+g as (select source_id, list({{'id': chunk_id, 'cost': cost}} order by cost desc, chunk_id) items from x where source_id is not null group by 1),
+f as (select source_id, list_reduce(items, lambda a, i: case when a.used + i.cost <= 2000 then {{'used': a.used + i.cost, 'kept': list_append(a.kept, i)}} else a end, {{'used': 0::bigint, 'kept': []::struct(id varchar, "cost" bigint)[]}}) r from g)
+select source_id, k.id chunk_id, k.cost "cost" from (select source_id, unnest(r.kept) k from f)""")
 def win18_packed_contexts(spark: SparkSession, d: str):
     """Per source, chunk ids by falling length that fit 2,000 estimated tokens; one too large is skipped.
 
@@ -234,69 +237,121 @@ def jn32_gold_chunks(spark: SparkSession, d: str):
 
 MAX_KEYWORDS = 2000
 
+# --- lexical retrieval and fusion --------------------------------------------------------------------------------------
+
+_REST = r"regexp_replace({0}, '[a-zà-ÿ0-9\s\p{{P}}\p{{S}}]+', '', 'g')"
+_TERMS = "list_concat(regexp_extract_all(t, '[a-zà-ÿ0-9]+'), list_transform(range(1, greatest(1, length(r) - 1)), lambda i: substr(r, i::int, 3)))"
+LEXICAL = f"""{CHUNKS},
+tm as (select chunk_id, {_TERMS} terms from (select chunk_id, lower(text) t, {_REST.format('lower(text)')} r from c where text is not null)),
+po as (select chunk_id, len(terms) size, term, count(*) tf from (select chunk_id, terms, unnest(terms) term from tm) group by all),
+qt as (select distinct qid, unnest({_TERMS}) term from (select qid, lower(question) t, {_REST.format('lower(question)')} r from rag_questions)),
+fr as (select term, count(*) df from po group by 1), nn as (select count(*) n, avg(len(terms)) m from tm where len(terms) > 0),
+bm as (select qid, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * size / m))), 6) score from po join qt using (term) join fr using (term), nn group by all),
+ov as (select qid, chunk_id, round(count(*) / k, 6) score from po join qt using (term) join (select qid, count(*) k from qt group by 1) using (qid) group by qid, chunk_id, k),
+top as (select qid, chunk_id, score, row_number() over (partition by qid order by score desc, chunk_id) rank from bm qualify rank <= 10)
+"""
+_L = f"with {LEXICAL}"
 
 
-def _posts(spark, d):
-    """Written once: statistics and scores each read them."""
-    return settle(lexical.postings(chunks(spark, d, "text").filter("text is not null"), "chunk_id", "text"))
+def _hits(spark, d):
+    return lexical.hits(table(spark, d, "rag_questions").select("qid", "question"), "qid", "question", chunks(spark, d, "text"), "chunk_id", "text")
 
 
-@query()
-def agg24_bm25_statistics(spark: SparkSession, d: str):
-    """Document frequency and idf of every term."""
-    frequency, sizes = lexical.bm25_statistics(_posts(spark, d), "chunk_id")
-    return frequency.join(F.broadcast(sizes), F.lit(True)).select("term", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
+def _bm25(spark, d):
+    return lexical.bm25(_hits(spark, d))
 
 
-def _bm25(spark, d):
-    return lexical.bm25(table(spark, d, "rag_questions").select("qid", "question"), "qid", "question", _posts(spark, d), "chunk_id")
+def _overlaps(spark, d):
+    return lexical.overlaps(_hits(spark, d))
+
 
+@query(_L + "select term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) idf from fr, nn")
+def agg24_bm25_statistics(spark: SparkSession, d: str):
+    """Document frequency and idf of every term."""
+    c = chunks(spark, d, "text").filter("text is not null")
+    n = c.filter(F.size(lexical.terms_of(F.col("text"))) > 0).agg(F.count("*").alias("n"))  # one row
+    return lexical.term_frequencies(c, "chunk_id", "text").join(F.broadcast(n), F.lit(True)).select("term", "df", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
-@query()
+
+@query(_L + "select qid, chunk_id, score, rank from top")
 def mth07_bm25_top(spark: SparkSession, d: str):
     """The ten best chunks of each question."""
     return ranking.top_k(_bm25(spark, d), ["qid"], "score", "chunk_id", 10)
 
 
-def _overlaps(spark, d):
-    """Share of a question's distinct terms that a chunk has; only chunks with a term in common."""
-    q = table(spark, d, "rag_questions").select("qid", F.explode(F.array_distinct(lexical.terms_of(F.col("question")))).alias("term"))
-    n = q.groupBy("qid").agg(F.count("*").alias("n"))
-    met = _posts(spark, d).join(F.broadcast(q), "term").groupBy("qid", "chunk_id").agg(F.count("*").alias("hits"))
-    return met.join(F.broadcast(n), "qid").select("qid", "chunk_id", F.round(F.col("hits") / F.col("n"), 6).alias("score"))
+@query(_L + ", se as (select qid, round(sum(ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5))), 6) best from qt left join fr using (term), nn group by 1) select qid, chunk_id, round(score / best, 6) share from top join se using (qid) where rank = 1")
+def mth07_self_scores(spark: SparkSession, d: str):
+    """The best score of each question relative to what a text with all its terms would have."""
+    h = _hits(spark, d)
+    return ranking.top_k(lexical.bm25(h), ["qid"], "score", "chunk_id", 1).join(lexical.self_scores(h), "qid").select("qid", "chunk_id", F.round(F.col("score") / F.col("best"), 6).alias("share"))
+
 
+_RANKED = ", ra as (select *, row_number() over (partition by qid order by score desc, chunk_id) r from bm), rb as (select *, row_number() over (partition by qid order by score desc, chunk_id) r from ov)"
 
-@query()
+
+@query(_L + _RANKED + ", wo as (select qid, count(*) + 1 w from (select qid, chunk_id from bm union select qid, chunk_id from ov) group by 1), fu as (select qid, chunk_id, 1 / (60 + coalesce(ra.r, w)) + 1 / (60 + coalesce(rb.r, w)) s from ra full join rb using (qid, chunk_id) join wo using (qid)) select qid, chunk_id, round(s, 6) score, row_number() over (partition by qid order by s desc, chunk_id) rank from fu qualify rank <= 10")
 def win02_reciprocal_fusion(spark: SparkSession, d: str):
     """Reciprocal-rank fusion of the complete lists by BM25 and by overlap, the best ten of it."""
-    a = ranking.rank_all(_bm25(spark, d), ["qid"], "score", "chunk_id")
-    b = ranking.rank_all(_overlaps(spark, d), ["qid"], "score", "chunk_id")
+    h = _hits(spark, d)
+    a = ranking.rank_all(lexical.bm25(h), ["qid"], "score", "chunk_id")
+    b = ranking.rank_all(lexical.overlaps(h), ["qid"], "score", "chunk_id")
     fused = ranking.reciprocal_rank_fusion(a, b, ["qid"], "chunk_id")
     return ranking.top_k(fused, ["qid"], "score", "chunk_id", 10).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(_L + _RANKED + ", u as (select qid, chunk_id, 1 l, r, 1.0 / (60 + r) s from ra where r <= 16 union all select qid, chunk_id, 2, r, 0.5 / (60 + r) from rb where r <= 16), f as (select qid, chunk_id, round(sum(s), 5) score, min(l * 1000 + r) first from u group by all) select qid, chunk_id, score, row_number() over (partition by qid order by score desc, first) rank from f qualify rank <= 8")
+def win03_weighted_fusion(spark: SparkSession, d: str):
+    """Weighted reciprocal ranks of the first 16 of two lists: what a list lacks adds nothing, ties go to what was seen first."""
+    h = _hits(spark, d)
+    lists = [ranking.top_k(x, ["qid"], "score", "chunk_id", 16) for x in (lexical.bm25(h), lexical.overlaps(h))]
+    return ranking.weighted_reciprocal_ranks(lists, [1.0, 0.5], ["qid"], "chunk_id", 8)
+
+
+@query(_L + ", mx as (select *, case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) else 0.5 end s from bm window w as (partition by qid)), my as (select *, case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) else 0.5 end s from ov window w as (partition by qid)), fu as (select qid, chunk_id, 0.3 * coalesce(mx.s, 0) + 0.7 * coalesce(my.s, 0) s from mx full join my using (qid, chunk_id)) select qid, chunk_id, round(s, 6) score, row_number() over (partition by qid order by round(s, 9) desc, chunk_id) rank from fu qualify rank <= 10")
 def agg01_weighted_fusion(spark: SparkSession, d: str):
     """Weighted fusion of all scores by BM25 and by overlap, the best ten of it."""
-    fused = ranking.weighted_fusion(settle(_bm25(spark, d)), settle(_overlaps(spark, d)), ["qid"], "chunk_id", 0.3)
-    return ranking.top_k(fused, ["qid"], "score", "chunk_id", 10).withColumn("score", F.round("score", 6))
+    h = _hits(spark, d)
+    fused = ranking.weighted_fusion(settle(lexical.bm25(h)), settle(lexical.overlaps(h)), ["qid"], "chunk_id", 0.3)
+    return ranking.top_k(fused.withColumn("score", F.round("score", 9)), ["qid"], "score", "chunk_id", 10).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(_L + ", s as (select * from ov where score >= 0.1) select qid, chunk_id, score from (select *, max(score) over (partition by qid) best from s) where score >= 0.3 * best")
 def flt12_relevance_gate(spark: SparkSession, d: str):
     """Rows of at least 0.1, and of those the ones of at least 0.3 of the question's best."""
-    s = _overlaps(spark, d).filter("score >= 0.1")
+    s = settle(lexical.overlaps(_hits(spark, d)).filter("score >= 0.1"))
     best = s.groupBy("qid").agg(F.max("score").alias("best"))
-    return s.join(F.broadcast(best), "qid").filter("score >= 0.3 * best").drop("best")
+    return s.join(best, "qid").filter("score >= 0.3 * best").drop("best")
+
+
+_GOLD = """, gk as (select qid, list_distinct(list_filter(expected_keywords, lambda k: k <> '')) ks from rag_questions),
+go as (select qid, chunk_id from gk, c where text is not null and len(ks) > 0 and len(list_filter(ks, lambda k: contains(lower(text), lower(k)))) >= ceil(len(ks) / 2.0)), gn as (select qid, count(*) n from go group by 1)"""
 
 
-@query()
+@query(_L + _GOLD + ", hi as (select qid, count(*) h, min(rank) f, sum(1 / log2(rank + 1)) g from top join go using (qid, chunk_id) group by 1), id as (select n, sum(1 / log2(i + 1)) z from (select distinct n from gn), (select unnest(range(1, 11)) i) where i <= n group by 1) select qid, round(coalesce(h, 0) / 10, 4) p_at_k, round(coalesce(h, 0) / n, 4) r_at_k, round(coalesce(1 / f, 0), 4) mrr, round(coalesce(g, 0) / z, 4) ndcg from gn join id using (n) left join hi using (qid)")
 def agg22_hit_and_mrr(spark: SparkSession, d: str):
     """Precision, recall, MRR and nDCG at 10 of the BM25 search against the keyword gold."""
     return ranking.ranking_metrics(mth07_bm25_top(spark, d), jn32_gold_chunks(spark, d), "qid", "chunk_id", 10)
 
 
-@query()
+@query(_L + _GOLD + ", fi as (select qid, min(rank) f from top join go using (qid, chunk_id) group by 1), em as (select distinct qid from ov where score >= 0.1), le as (select distinct qid from top join c using (chunk_id) where category in ('lifestyle', 'breakup')) select coalesce(style, '-') style, count(*) n, round(avg(case when answerable and qid in (select qid from gn) then (qid in (select qid from fi))::int end), 4) hit, round(avg(case when answerable and qid in (select qid from gn) then coalesce(1 / f, 0) end), 4) mrr, round(avg((qid not in (select qid from em))::int), 4) empty, round(avg((qid in (select qid from le))::int), 4) leak from rag_questions left join fi using (qid) group by 1")
+def agg22_rates_by_style(spark: SparkSession, d: str):
+    """Hit and MRR of answerable questions, and the shares of all that find nothing above the gate or see a restricted category, by style of question."""
+    h = _hits(spark, d)
+    top = settle(ranking.top_k(lexical.bm25(h), ["qid"], "score", "chunk_id", 10).select("qid", "chunk_id", "rank"))
+    gold = settle(jn32_gold_chunks(spark, d).select("qid", "chunk_id"))
+    first = top.join(gold, ["qid", "chunk_id"]).groupBy("qid").agg(F.min("rank").alias("f"))
+    some = lexical.overlaps(h).filter("score >= 0.1").select("qid").distinct().withColumn("some", F.lit(1))
+    leak = top.join(chunks(spark, d, "category").filter("category in ('lifestyle', 'breakup')"), "chunk_id").select("qid").distinct().withColumn("leak", F.lit(1))
+    q = table(spark, d, "rag_questions").select("qid", "style", "answerable").join(first, "qid", "left").join(gold.select("qid").distinct().withColumn("gold", F.lit(1)), "qid", "left").join(some, "qid", "left").join(leak, "qid", "left")
+    judged = F.col("answerable") & F.col("gold").isNotNull()
+    rate = lambda c: F.round(F.avg(c), 4)
+    return q.groupBy(F.coalesce("style", F.lit("-")).alias("style")).agg(
+        F.count("*").alias("n"), rate(F.when(judged, F.col("f").isNotNull().cast("int"))).alias("hit"), rate(F.when(judged, F.coalesce(1 / F.col("f"), F.lit(0.0)))).alias("mrr"),
+        rate(F.col("some").isNull().cast("int")).alias("empty"), rate(F.col("leak").isNotNull().cast("int")).alias("leak"),
+    )
+
+
+@query(_L + ", rk as (select bm.*, row_number() over (partition by qid order by score desc, chunk_id) rank, coalesce(source_id, '') source_id from bm join c using (chunk_id)), rs as (select *, row_number() over (partition by qid, source_id order by rank) n from rk) select qid, chunk_id, rank, row_number() over (partition by qid order by n > 2, rank) pos from rs qualify pos <= 8")
 def win05_deferred_refill(spark: SparkSession, d: str):
     """Eight chunks per question: at most two of a source while others last, the rest refilled by rank."""
     ranked = ranking.rank_all(_bm25(spark, d), ["qid"], "score", "chunk_id")
@@ -304,11 +359,11 @@ def win05_deferred_refill(spark: SparkSession, d: str):
     return ranking.cap_with_refill(settle(ranked.join(sources, "chunk_id")), ["qid"], "source_id", "rank", 2, 8).select("qid", "chunk_id", "rank", "pos")
 
 
-@query()
+@query(_L + ", tb as (select qid, chunk_id, row_number() over (partition by qid order by score desc, chunk_id) r from ov qualify r <= 10) select qid, chunk_id, 'bm25' only_in from top anti join tb using (qid, chunk_id) union all select qid, chunk_id, 'overlap' from tb anti join top using (qid, chunk_id)")
 def set12_disagreement(spark: SparkSession, d: str):
     """What one of two searches has among its ten best and the other has not."""
-    a = ranking.top_k(_bm25(spark, d), ["qid"], "score", "chunk_id", 10).select("qid", "chunk_id")
-    b = ranking.top_k(_overlaps(spark, d), ["qid"], "score", "chunk_id", 10).select("qid", "chunk_id")
+    h = _hits(spark, d)
+    a, b = (ranking.top_k(x, ["qid"], "score", "chunk_id", 10).select("qid", "chunk_id") for x in (lexical.bm25(h), lexical.overlaps(h)))
     only = lambda x, y, n: x.exceptAll(y).withColumn("only_in", F.lit(n))
     return only(a, b, "bm25").unionByName(only(b, a, "overlap"))
 

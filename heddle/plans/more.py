@@ -6,8 +6,8 @@ from pyspark.sql import SparkSession, Window as W, functions as F
 
 from heddle.functions import text as T
 from heddle.operators import ranking
-from heddle.plans.knowledge import _bm25, mth07_bm25_top
-from heddle.plans.tables import EVENTS, MESSAGES, USERS, WS, chunks, match_events, messages, users
+from heddle.plans.knowledge import _L, _bm25, mth07_bm25_top
+from heddle.plans.tables import CHUNKS, EVENTS, MESSAGES, USERS, WS, chunks, match_events, messages, users
 from heddle.operators.references import clean_key, current_rows
 from heddle.session import settle, table
 
@@ -24,22 +24,27 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+@query(_L + ", w as (select qid, max(case when rank = 1 then chunk_id end) chunk_id, max(score) best, max(case when rank = 2 then score end) \"second\" from top group by 1) select * from w where best - coalesce(\"second\", 0) >= 0.1 * best")
 def win21_clear_winners(spark: SparkSession, d: str):
     """Questions whose best chunk leads the runner-up by at least a tenth of its score."""
-    top = mth07_bm25_top(spark, d).filter("rank <= 2").groupBy("qid").agg(F.max_by("chunk_id", "score").alias("chunk_id"), F.max("score").alias("best"), F.min(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
+    top = mth07_bm25_top(spark, d).filter("rank <= 2").groupBy("qid").agg(F.max(F.when(F.col("rank") == 1, F.col("chunk_id"))).alias("chunk_id"), F.max("score").alias("best"), F.min(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
     return top.filter("best - coalesce(second, 0) >= 0.1 * best").select("qid", "chunk_id", "best", "second")
 
 
-@query()
+@query(_L + "select qid, chunk_id, score from (select *, max(score) over (partition by qid) best from bm) where score >= best * 0.92")
 def win22_near_best(spark: SparkSession, d: str):
     """All within 0.08 of the best score, relative to it."""
     scored = settle(_bm25(spark, d))
     best = scored.groupBy("qid").agg(F.max("score").alias("best"))
-    return scored.join(F.broadcast(best), "qid").filter("score >= best * 0.92").select("qid", "chunk_id", "score")
+    return scored.join(best, "qid").filter("score >= best * 0.92D").select("qid", "chunk_id", "score")
 
 
-@query()
+_TRI = "list_distinct(list_transform(range(1, greatest(1, length({0}) - 1)), lambda i: substr({0}, i::int, 3)))"
+
+
+@query(_L + f""", x as (select top.*, regexp_replace(question, '\\s+', '', 'g') q, regexp_replace(coalesce(title, ''), '\\s+', '', 'g') t, max(score) over w hi, min(score) over w lo from top join rag_questions using (qid) join c using (chunk_id) window w as (partition by qid)),
+y as (select qid, chunk_id, rank, round(0.7 * (case when hi > lo then (score - lo) / (hi - lo) else 0.5 end) + 0.3 * len(list_intersect({_TRI.format('q')}, {_TRI.format('t')})) / greatest(1, len({_TRI.format('q')})), 6) m from x)
+select qid, chunk_id, rank, row_number() over (partition by qid order by (rank > 5)::int, case when rank <= 5 then m end desc, rank) pos from y""")
 def srt05_head_rerank(spark: SparkSession, d: str):
     """The five best of a question are reordered by a mix of their scaled score and title overlap; the tail stays."""
     top = mth07_bm25_top(spark, d)
@@ -51,22 +56,31 @@ def srt05_head_rerank(spark: SparkSession, d: str):
     return scored.select("qid", "chunk_id", "rank", F.row_number().over(order).alias("pos"))
 
 
-@query()
+_CHARS = " union all ".join(f"select {{0}}, unnest(list_transform(range(1, greatest(1, length({{1}}) - {n - 2})), lambda i: substr(lower({{1}}), i::int, {n}))) g from {{2}}" for n in (2, 3, 4))
+_TFIDF = f"""{CHUNKS}, tt as (select distinct title from c where length(trim(title)) > 0), nt as (select count(*) n from tt),
+ga as (select title, g, 1 + ln(count(*)) tf from ({_CHARS.format('title', 'title', 'tt')}) group by all), gd as (select g, ln((1 + n) / (1 + count(*))) + 1 idf from ga, nt group by g, n having count(*) >= 2 and count(*) <= 0.8 * n),
+va as (select title, g, tf * idf w from ga join gd using (g)), la as (select title, sqrt(sum(w * w)) l from va group by 1),
+gq as (select qid, g, (1 + ln(count(*))) * idf w from ({_CHARS.format('qid', 'question', 'rag_questions')}) join gd using (g) group by qid, g, idf), lq as (select qid, sqrt(sum(w * w)) l from gq group by 1),
+sc as (select qid, title, round(sum(va.w * gq.w) / any_value(la.l) / any_value(lq.l), 6) score from va join gq using (g) join la using (title) join lq using (qid) group by all)"""
+
+
+@query(f"with {_TFIDF} select qid, title, score, row_number() over (partition by qid order by score desc, title) rank from sc qualify rank <= 3")
 def mth08_title_tfidf(spark: SparkSession, d: str):
-    """Cosine of trigram TF-IDF vectors of questions and chunk titles, the three best titles of each question.
+    """Cosine of TF-IDF vectors of pieces of 2 to 4 characters of questions and chunk titles, the three best titles of each question.
 
     Terms of a single title and those of four fifths of all are left out.
     """
     t = chunks(spark, d, "title").filter("length(trim(title)) > 0").select("title").distinct()
     n = t.agg(F.count("*").alias("n"))
-    grams = lambda df, text, key: df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("(?=(...))"), F.lit(1))).alias("g")).groupBy(key, "g").agg((1 + F.log(F.count("*"))).alias("tf"))
+    pieces = lambda text: F.concat(*[F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(" + "." * k + "))"), F.lit(1)) for k in (2, 3, 4)])
+    grams = lambda df, text, key: df.select(key, F.explode(pieces(text)).alias("g")).groupBy(key, "g").agg((1 + F.log(F.count("*"))).alias("tf"))
     a = grams(t, "title", "title")
     idf = a.groupBy("g").agg(F.count("*").alias("df")).join(F.broadcast(n), F.lit(True)).filter("df >= 2 and df <= 0.8 * n").select("g", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     a = a.join(idf, "g").select("title", "g", (F.col("tf") * F.col("idf")).alias("w"))
     b = grams(table(spark, d, "rag_questions"), "question", "qid").join(idf, "g").select("qid", "g", (F.col("tf") * F.col("idf")).alias("v"))
     la, lb = a.groupBy("title").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("la")), b.groupBy("qid").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("lb"))
-    s = a.join(F.broadcast(b), "g").groupBy("qid", "title").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
-    scored = s.join(la, "title").join(F.broadcast(lb), "qid").select("qid", "title", F.round(F.col("s") / F.col("la") / F.col("lb"), 6).alias("score"))
+    s = a.join(b, "g").groupBy("qid", "title").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
+    scored = s.join(la, "title").join(lb, "qid").select("qid", "title", F.round(F.col("s") / F.col("la") / F.col("lb"), 6).alias("score"))
     return ranking.top_k(scored, ["qid"], "score", "title", 3)
 
 

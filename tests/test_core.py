@@ -54,9 +54,9 @@ def test_clean_key_and_current_rows(spark):
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("ค า", "see [1] and [2, 3] [1]", "mail a.b@c.de or https://x.y @someone"), (None, None, None)], "a string, b string, c string")
-    r = df.select(T.fix_sara_am(F.col("a")).alias("a"), T.citations(F.col("b")).alias("n"), T.strip_citations(F.col("b")).alias("b"), T.redact_contacts(F.col("c")).alias("c"), T.grams(F.lit("ab cd")).alias("g"), T.elide(F.lit("x" * 50), 20).alias("e"), T.join_lines(F.array(F.lit("ไทย"), F.lit("ไทย"), F.lit("x"))).alias("j")).collect()
-    assert r[0].a == "คำ" and r[0].n == [1, 2, 3] and r[0].b == "see and" and r[0].c == "mail [email] or [url] [handle]"
+    df = spark.createDataFrame([("ค า", "see (1) and (2, 3–5) (1) or (1999)", "mail a.b@c.de or https://x.y @someone", "see [1] and [2, 3] [1]"), (None, None, None, None)], "a string, b string, c string, d string")
+    r = df.select(T.fix_sara_am(F.col("a")).alias("a"), T.citations(F.col("d")).alias("n"), T.strip_citations(F.col("b")).alias("b"), T.redact_contacts(F.col("c")).alias("c"), T.grams(F.lit("ab cd")).alias("g"), T.elide(F.lit("x" * 50), 20).alias("e"), T.join_lines(F.array(F.lit("ไทย"), F.lit("ไทย"), F.lit("x"))).alias("j")).collect()
+    assert r[0].a == "คำ" and r[0].n == [1, 2, 3] and r[0].b == "see and or (1999)" and r[0].c == "mail [email] or [url] [handle]"
     assert sorted(r[0].g) == ["abc", "bcd"] and len(r[0].e) == 20 and r[0].j == "ไทยไทย x"
     assert r[1].a is None and r[1].n is None and r[1].b is None and r[1].c is None
 
@@ -102,8 +102,8 @@ def test_bm25_against_brute_force(spark):
 
     docs = {"a": "red fish blue fish", "b": "one fish", "c": "red red wine", "d": ""}
     words = {k: v.split() for k, v in docs.items()}
-    posts = lexical.postings(spark.createDataFrame(list(docs.items()), "id string, t string"), "id", "t")
-    got = {(r.q, r.id): r.score for r in lexical.bm25(spark.createDataFrame([("q", "Red fish")], "q string, t string"), "q", "t", posts, "id").collect()}
+    h = lexical.hits(spark.createDataFrame([("q", "Red fish")], "q string, t string"), "q", "t", spark.createDataFrame(list(docs.items()), "id string, t string"), "id", "t")
+    got = {(r.q, r.id): r.score for r in lexical.bm25(h).collect()}
     have = {k: w for k, w in words.items() if w}
     mean = sum(map(len, have.values())) / len(have)
     for k, w in have.items():
