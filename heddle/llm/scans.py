@@ -6,10 +6,12 @@ Four steps over the chunks:
    (ends of the text, next to page numbers) or bound to a page number.
 2. ``running_heads`` finds, per source, which of them repeat. Repetition is
    fuzzy: lines are compared by their letters, without marks, with commonly
-   confused characters folded into one, and by their beginning only, as heads
-   are often shortened. Titles of the source count as heads too.
-3. ``gram_table`` counts pieces of GRAM letters and words over the whole corpus
-   in tables of a fixed number of cells.
+   confused characters folded into one, and by their beginning, as heads are
+   often shortened. Titles of the source count as heads too. Lines that begin
+   otherwise, or are longer than a line of print, meet a head on stretches of
+   HEAD letters from its middle and end, and must be nearly the whole of it.
+3. ``piece_counts`` counts pieces of GRAM letters and words over the whole
+   corpus, exactly.
 4. ``page_faults`` decides for every line: furniture (number of the chunk's own
    page sequence, running head), cut (a hyphen at the line's end that the corpus
    vocabulary knows joined rather than hyphenated), misread (an edit by a common
@@ -18,8 +20,12 @@ Four steps over the chunks:
 
 Scale. Heads are counted by (source, beginning), partially aggregated, and
 joined to candidate lines, of which a chunk has a few; hot sources are split
-by AQE, as the join's other side is unique. The corpus counts are CELLS + WORDS
-numbers however large the corpus; they travel with the tasks.
+by AQE, as the join's other side is unique. The corpus counts are a table of
+distinct pieces, which no task holds as a whole: the chunks are put into lots
+of about LOT characters, each lot asks for the distinct pieces of its own text,
+then for those of the edits it considers, and gets their counts by an equi-join
+with the table. Counts are exact at every size, so results do not depend on
+how the chunks are dealt to tasks.
 
 Cases. Null and blank texts have no faults. Null pages: the number's form and
 place decide alone. Lines are counted from 1, empty ones too. A heading equal to
@@ -29,17 +35,19 @@ the section_title is text. Texts not broken into lines can only be misread.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from heddle.llm.common import clean_key, delivered_once, settle, table
 
-GRAM, CELLS, WORDS = 5, 1 << 22, 1 << 20
+GRAM, LOT = 5, 8_000_000  # letters of a piece; characters of chunks that are decided together
+LINE = 100  # characters of a line of print, at most: longer lines are furniture only if they are the title
 HEAD, REPEATS = 9, 3  # letters of a head that must agree; chunks of a source in which it must stand
 # fixed values: what scanners read for what is printed
 CONFUSED = [
@@ -127,8 +135,17 @@ def _pages(x: object) -> list[int] | None:
 # --- running heads --------------------------------------------------------------------------------------------------
 
 
+def _stretches(key: str) -> list[tuple[int, str]]:
+    """(which, stretch): HEAD letters from the beginning, the middle and the end."""
+    mid = (len(key) - HEAD) // 2
+    found = [(0, key[:HEAD])]
+    if len(key) >= 2 * HEAD:
+        found += [(1, key[mid : mid + HEAD]), (2, key[-HEAD:])]
+    return found
+
+
 def edge_lines(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, source_id, line_no, head, full): candidates by the beginning of their letters; titles have line_no 0."""
+    """(chunk_id, source_id, line_no, which, head, full): candidates by stretches of their letters; titles have line_no 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -137,33 +154,36 @@ def edge_lines(chunks: DataFrame) -> DataFrame:
                 pages = _pages(pages)
                 t = fold(title)
                 if len(t) >= HEAD:
-                    out.append((cid, src, 0, t[:HEAD], t))
+                    out += [(cid, src, 0, w, h, t) for w, h in _stretches(t)]
                 lines = (text or "").split("\n")
                 if len(lines) < 3:
                     continue
                 own = fold(section)
                 edges = _edges(lines, pages)
                 for i, x in enumerate(lines):
-                    if not x.strip() or len(x) > 100:
+                    if not x.strip():
                         continue
                     rest, n = _parts(x)
-                    if i not in edges and n is None and not x.isupper() and not CHAPTER.match(x):
-                        k = fold(x)
-                        if len(k) < HEAD or len(t) < HEAD or k[:HEAD] != t[:HEAD]:
-                            continue
                     k = fold(rest)
-                    if len(k) >= HEAD and k != own:
-                        out.append((cid, src, i + 1, k[:HEAD], k))
-            yield pd.DataFrame(out, columns=["chunk_id", "source_id", "line_no", "head", "full"])
+                    if len(k) < HEAD or k == own or len(x) > LINE and not (len(t) >= HEAD and _same(k, t)):
+                        continue
+                    if i not in edges and n is None and not x.isupper() and not CHAPTER.match(x) and not (len(t) >= HEAD and (k[:HEAD] == t[:HEAD] or _same(k, t))):
+                        continue
+                    out += [(cid, src, i + 1, w, h, k) for w, h in _stretches(k)]
+            yield pd.DataFrame(out, columns=["chunk_id", "source_id", "line_no", "which", "head", "full"])
 
-    return chunks.select("chunk_id", "source_id", "title", "section_title", "pages", "text").mapInPandas(run, "chunk_id string, source_id string, line_no int, head string, full string")
+    return chunks.select("chunk_id", "source_id", "title", "section_title", "pages", "text").mapInPandas(run, "chunk_id string, source_id string, line_no int, which int, head string, full string")
 
 
 def running_heads(candidates: DataFrame) -> DataFrame:
-    """(source_id, head, key): beginnings that repeat in a source, with their most frequent whole key."""
-    lines = candidates.groupBy("source_id", "head", "full").agg(F.count("*").alias("n"), F.max((F.col("line_no") == 0).cast("int")).alias("title"))
+    """(source_id, which, head, key): beginnings that repeat in a source, with their most frequent whole key, and the other stretches of those keys."""
+    lines = candidates.filter("which = 0").groupBy("source_id", "head", "full").agg(F.count("*").alias("n"), F.max((F.col("line_no") == 0).cast("int")).alias("title"))
     heads = lines.groupBy("source_id", "head").agg(F.sum("n").alias("n"), F.max("title").alias("title"), F.max_by("full", F.struct("title", "n", F.length("full"))).alias("key"))
-    return heads.filter((F.col("n") >= REPEATS) | (F.col("title") == 1)).select("source_id", "head", "key")
+    heads = heads.filter((F.col("n") >= REPEATS) | (F.col("title") == 1))
+    size = F.length("key")
+    more = F.when(size >= 2 * HEAD, F.array(F.struct(F.lit(1).alias("which"), F.substring("key", ((size - HEAD) / 2).cast("int") + 1, F.lit(HEAD)).alias("head")), F.struct(F.lit(2).alias("which"), F.substring("key", size - HEAD + 1, F.lit(HEAD)).alias("head")))).otherwise(F.array().cast("array<struct<which:int,head:string>>"))
+    all_ = F.concat(F.array(F.struct(F.lit(0).alias("which"), F.col("head").alias("head"))), more)
+    return heads.select("source_id", "key", F.explode(all_).alias("x")).groupBy("source_id", "x.which", "x.head").agg(F.max("key").alias("key"))
 
 
 # --- corpus counts --------------------------------------------------------------------------------------------------
@@ -184,14 +204,30 @@ def _sums(codes: np.ndarray) -> np.ndarray:
     return sum(codes[k : k + n] * _POWERS[k] for k in range(GRAM))
 
 
-def _cells(sums: np.ndarray) -> np.ndarray:
-    h = sums ^ (sums >> np.uint64(31))
-    h = h * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(42)).astype(np.int64)  # 22 bits
+def _word_key(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
+
+
+class Counts:
+    """Counts by key (of pieces their sums, of words a hash); what is asked for and not there is remembered."""
 
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.n = keys[order], n[order].astype(np.int64)
+        self.asked: list[np.ndarray] = []
 
-def _word_cell(word: str) -> int:
-    return CELLS + (zlib.crc32(word.encode("utf-8", "surrogatepass")) & (WORDS - 1))
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            self.asked.append(np.unique(keys))
+            return np.zeros(keys.shape, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        there = self.keys[at] == keys
+        if not there.all():
+            self.asked.append(np.unique(keys[~there]))
+        return np.where(there, self.n[at], 0)
+
+    def word(self, word: str) -> int:
+        return int(self.of(np.array([_word_key(word)], np.uint64))[0])
 
 
 def _whole(codes: np.ndarray) -> np.ndarray:
@@ -200,29 +236,32 @@ def _whole(codes: np.ndarray) -> np.ndarray:
     return breaks[GRAM:] == breaks[:-GRAM]
 
 
-def gram_table(chunks: DataFrame) -> np.ndarray:
-    """Counts of all pieces of GRAM characters within lines, and of all words: CELLS + WORDS numbers."""
+def _keys(texts: list[str], words: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of the pieces within lines, and of all words, with their counts."""
+    codes = _codes("\n".join(texts))
+    found = [np.unique(_sums(codes)[_whole(codes)], return_counts=True)] if len(codes) >= GRAM else []
+    seen = Counter(w for t in texts for w in _WORD.findall(t.lower())) if words else {}
+    if seen:
+        found.append((np.array([_word_key(w) for w in seen], np.uint64), np.array(list(seen.values()), np.int64)))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
+
+
+def _signed(keys: np.ndarray) -> np.ndarray:
+    return keys.astype(np.uint64).view(np.int64)
+
+
+def piece_counts(chunks: DataFrame) -> DataFrame:
+    """(key, n) of all pieces of GRAM characters within lines, and of all words, over the whole corpus."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CELLS + WORDS, np.int64)
         for b in batches:
-            for lo in range(0, len(b), 500):
-                codes = _codes("\n".join(b.text.iloc[lo : lo + 500]))
-                if len(codes) >= GRAM:
-                    total[:CELLS] += np.bincount(_cells(_sums(codes)[_whole(codes)]), minlength=CELLS)
-            words = Counter(w for t in b.text for w in _WORD.findall(t.lower()))
-            for w, n in words.items():
-                total[_word_cell(w)] += n
-        cells = np.flatnonzero(total)
-        for lo in range(0, len(cells), 200_000):
-            part = cells[lo : lo + 200_000]
-            yield pd.DataFrame({"cell": part.astype(np.int32), "n": total[part]})
+            keys, n = _keys(b.text.tolist())
+            yield pd.DataFrame({"key": _signed(keys), "n": n.astype(np.int64)})
 
     texts = chunks.select("text").filter(F.length("text") > 0)
-    counts = texts.mapInPandas(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS + WORDS rows
-    out = np.zeros(CELLS + WORDS, np.int32)
-    out[counts["cell"].to_numpy()] = np.minimum(counts["n"].to_numpy(), 2**31 - 1)
-    return out
+    return texts.mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 # --- misread characters ---------------------------------------------------------------------------------------------
@@ -246,7 +285,7 @@ def _better(old: np.ndarray, new: np.ndarray, there: np.ndarray) -> tuple[np.nda
     return good, mean
 
 
-def misreadings(text: str, counts: np.ndarray) -> list[tuple[int, int, str]]:
+def misreadings(text: str, counts: Counts) -> list[tuple[int, int, str]]:
     """Edits (start, end, replacement) that common confusions and the corpus suggest; all lines of ``text`` at once.
 
     What a line gets depends on its own characters alone: breaks around the text
@@ -259,7 +298,8 @@ def misreadings(text: str, counts: np.ndarray) -> list[tuple[int, int, str]]:
     sums = _sums(codes)
     n = len(sums)
     whole = _whole(codes)
-    have = np.where(whole, counts[_cells(sums)], 0)
+    have = np.zeros(n, np.int64)
+    have[whole] = counts.of(sums[whole])
     rare = whole & (have <= np.maximum(3.0, 0.1 * _usual(have, whole, codes)))
     k = np.arange(GRAM)
     # per character: pieces that hold it, and how many of them are rare
@@ -281,7 +321,7 @@ def misreadings(text: str, counts: np.ndarray) -> list[tuple[int, int, str]]:
             where = np.clip(start, 0, n - 1)
             there = (start >= 0) & (start < n) & whole[where]
             delta = np.uint64((b - a) & 0xFFFFFFFFFFFFFFFF)
-            new = counts[_cells(sums[where] + delta * _POWERS[k][None, :])]
+            new = counts.of(sums[where] + delta * _POWERS[k][None, :])
             good, gain = _better(have[where], new, there)
             for i, g in zip(at[good].tolist(), gain[good].tolist()):
                 if g > best.get(i, (0.0, ""))[0]:
@@ -302,7 +342,7 @@ def misreadings(text: str, counts: np.ndarray) -> list[tuple[int, int, str]]:
         right = codes[gaps[:, None] + np.arange(0, GRAM - 1)[None, :]]
         for mark in DROPPED:
             around = np.concatenate([left, np.full((len(gaps), 1), ord(mark), np.uint64), right], axis=1)
-            pieces = np.stack([counts[_cells((around[:, j : j + GRAM] * _POWERS[None, :]).sum(axis=1))] for j in range(1, GRAM)], axis=1)
+            pieces = np.stack([counts.of((around[:, j : j + GRAM] * _POWERS[None, :]).sum(axis=1, dtype=np.uint64)) for j in range(1, GRAM)], axis=1)
             # pieces j..j+GRAM of the edited text stand for those that crossed the gap, from the left
             good, gain = _better(old[:, ::-1], pieces, there[:, ::-1])
             for i, g in zip(gaps[good].tolist(), gain[good].tolist()):
@@ -334,13 +374,13 @@ def _usual(have: np.ndarray, whole: np.ndarray, codes: np.ndarray) -> np.ndarray
     return out
 
 
-def _attempt(text: str, i: int, j: int, made: str, counts: np.ndarray) -> bool:
+def _attempt(text: str, i: int, j: int, made: str, counts: Counts) -> bool:
     """Whether text[i:j] should read ``made``, by the pieces of its line that hold any of it."""
     lo = max(i - GRAM + 1, text.rfind("\n", 0, i) + 1)
     hi = j + GRAM - 1
     stop = text.find("\n", j, hi)
     hi = min(hi if stop < 0 else stop, len(text))
-    old, new = (np.sort(counts[_cells(_sums(_codes(t)))]) for t in (text[lo:hi], text[lo:i] + made + text[j:hi]))
+    old, new = (np.sort(counts.of(_sums(_codes(t)))) for t in (text[lo:hi], text[lo:i] + made + text[j:hi]))
     m = min(len(old), len(new))
     return m >= 2 and bool(_better(old[None, :m], new[None, :m], np.ones((1, m), bool))[0][0])
 
@@ -348,7 +388,7 @@ def _attempt(text: str, i: int, j: int, made: str, counts: np.ndarray) -> bool:
 # --- decisions ------------------------------------------------------------------------------------------------------
 
 
-def is_cut(left: str, right: str, counts: np.ndarray) -> bool:
+def is_cut(left: str, right: str, counts: Counts) -> bool:
     """Whether the word at the end of ``left`` (hyphen included) goes on in ``right``."""
     body, nxt = left.rstrip()[:-1], right.lstrip()
     if not body or not nxt or not body[-1].isalpha() and not _THAI.match(body[-1]):
@@ -362,16 +402,16 @@ def is_cut(left: str, right: str, counts: np.ndarray) -> bool:
     if not a or not b:
         return True
     x, y = a.group().lower(), b.group().lower()
-    joined, apart = int(counts[_word_cell(x + y)]), int(counts[_word_cell(f"{x}-{y}")])
+    joined, apart = counts.word(x + y), counts.word(f"{x}-{y}")
     if joined or apart:
         return joined >= apart
     if left.rstrip()[-1] != "-":
         return True
     # neither known: two words that stand alone elsewhere keep their hyphen
-    return not (counts[_word_cell(x)] >= 5 and counts[_word_cell(y)] >= 5 and len(x) > 2 and len(y) > 2)
+    return not (counts.word(x) >= 5 and counts.word(y) >= 5 and len(x) > 2 and len(y) > 2)
 
 
-def line_faults(text: str, pages: list[int] | None, heads: dict[int, str], section: str | None, title: str | None, counts: np.ndarray) -> dict[int, set[str]]:
+def line_faults(text: str, pages: list[int] | None, heads: dict[int, str], section: str | None, title: str | None, counts: Counts) -> dict[int, set[str]]:
     """Faults by line number from 1; heads: line numbers of running heads with the head's whole key."""
     lines = text.split("\n")
     faults: dict[int, set[str]] = {}
@@ -394,7 +434,7 @@ def line_faults(text: str, pages: list[int] | None, heads: dict[int, str], secti
             furniture = True
         else:
             whole = known if known is not None else t
-            furniture = bool(whole) and len(k) >= HEAD and (known is not None or i in edges or k == t) and 0.85 * len(whole) <= len(k) <= 1.15 * len(whole) and k[:HEAD] == whole[:HEAD] and _close(k, whole)
+            furniture = bool(whole) and len(k) >= HEAD and (known is not None or i in edges or k == t) and (k[:HEAD] == whole[:HEAD] and _alike(k, whole) or _same(k, whole))
         if furniture:
             faults.setdefault(i + 1, set()).add("furniture")
     body = [i for i, x in enumerate(lines) if i + 1 not in faults and x.strip()]
@@ -404,7 +444,7 @@ def line_faults(text: str, pages: list[int] | None, heads: dict[int, str], secti
     return faults
 
 
-def misread_lines(texts: list[str], faults: list[dict[int, set[str]]], counts: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int, str]]]:
+def misread_lines(texts: list[str], faults: list[dict[int, set[str]]], counts: Counts) -> dict[tuple[int, int], list[tuple[int, int, str]]]:
     """Edits by (text, line number) for all lines that are not furniture; edits count from the line's start."""
     owner, lines = [], []
     for t, (text, found) in enumerate(zip(texts, faults)):
@@ -427,6 +467,26 @@ def _close(a: str, b: str) -> bool:
     return len(x & y) >= 0.75 * max(1, min(len(x), len(y)))
 
 
+def _alike(k: str, whole: str) -> bool:
+    """Two keys of about one length that are close."""
+    return 0.85 * len(whole) <= len(k) <= 1.15 * len(whole) and _close(k, whole)
+
+
+def _same(k: str, whole: str) -> bool:
+    """Two keys that differ in a letter out of ten at most."""
+    return 0.85 * len(whole) <= len(k) <= 1.15 * len(whole) and SequenceMatcher(None, k, whole, False).ratio() >= 0.9
+
+
+def _known(heads: object, lines: list[str]) -> dict[int, str]:
+    """Line number -> head: one that begins like the line of print, else one that it nearly equals."""
+    known: dict[int, str] = {}
+    for h in sorted(heads, key=lambda h: (h["which"], h["key"])) if heads is not None else ():
+        i = h["line_no"]
+        if i not in known and (h["which"] == 0 and len(lines[i - 1]) <= LINE or _same(fold(_parts(lines[i - 1])[0]), h["key"])):
+            known[i] = h["key"]
+    return known
+
+
 def repair(text: str, faults: dict[int, set[str]], edits: dict[int, list[tuple[int, int, str]]]) -> str:
     """Paragraphs, a line each: furniture dropped, cut words joined, misreadings undone."""
     out: list[str] = []
@@ -460,36 +520,50 @@ def scanned_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def page_faults(chunks: DataFrame, repaired: bool = False) -> DataFrame:
     """(chunk_id, line_no, fault), or (chunk_id, repaired) for chunks with pages or lines."""
+    spark = chunks.sparkSession
     chunks = settle(chunks.filter(F.length(F.trim("text")) > 0))
     candidates = settle(edge_lines(chunks))
     heads = running_heads(candidates)
-    met = candidates.filter("line_no > 0").join(heads, ["source_id", "head"]).groupBy("chunk_id").agg(F.collect_list(F.struct("line_no", "key")).alias("heads"))
-    counts = gram_table(chunks)
-    rows = chunks.join(met, "chunk_id", "left").select("chunk_id", "doc_type", "title", "section_title", "pages", "text", "heads")
+    met = candidates.filter("line_no > 0").join(heads, ["source_id", "which", "head"]).groupBy("chunk_id").agg(F.collect_list(F.struct("line_no", "which", "key")).alias("heads"))
+    size = chunks.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    lots = max(2 * spark.sparkContext.defaultParallelism, size // LOT + 1)
+    lot = F.pmod(F.xxhash64("chunk_id"), F.lit(lots)).alias("lot")
+    rows = settle(chunks.join(met, "chunk_id", "left").select(lot, "chunk_id", "title", "section_title", "pages", "text", "heads"))
+    counts = settle(piece_counts(chunks))
     schema = "chunk_id string, repaired string" if repaired else "chunk_id string, line_no int, fault string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for lo in range(0, len(whole), 200):
-                yield decide(whole.iloc[lo : lo + 200])
+    def own(b: pd.DataFrame) -> pd.DataFrame:
+        keys = np.unique(_keys(b.text.tolist())[0])
+        return pd.DataFrame({"lot": np.full(len(keys), b.lot.iloc[0]), "key": _signed(keys)})
+
+    def edits(b: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        c = Counts(known.key.to_numpy(np.int64).view(np.uint64), known.n.to_numpy(np.int64))
+        for lo in range(0, len(b), 200):
+            decide(b.iloc[lo : lo + 200], c)
+        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *c.asked]))
+        return pd.DataFrame({"lot": np.full(len(keys), b.lot.iloc[0] if len(b) else 0), "key": _signed(keys)})
+
+    def final(b: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        c = Counts(known.key.to_numpy(np.int64).view(np.uint64), known.n.to_numpy(np.int64))
+        out = [r for lo in range(0, len(b), 200) for r in decide(b.iloc[lo : lo + 200], c)]
+        return pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
 
-    def decide(b: pd.DataFrame) -> pd.DataFrame:
+    def decide(b: pd.DataFrame, c: Counts) -> list[tuple]:
         faults = []
         for title, section, pages, text, heads_ in zip(b.title, b.section_title, b.pages, b.text, b.heads):
-            known = {h["line_no"]: h["key"] for h in heads_} if heads_ is not None else {}
-            faults.append(line_faults(text, _pages(pages), known, section, title, counts))
-        edits = misread_lines(b.text.tolist(), faults, counts)
-        out = []
+            faults.append(line_faults(text, _pages(pages), _known(heads_, text.split("\n")), section, title, c))
+        found = misread_lines(b.text.tolist(), faults, c)
         if repaired:
-            for t, (cid, text) in enumerate(zip(b.chunk_id, b.text)):
-                out.append((cid, repair(text, faults[t], {i: e for (k, i), e in edits.items() if k == t})))
-        else:
-            for t, i in edits:
-                faults[t].setdefault(i, set()).add("misread")
-            out = [(cid, i, f) for cid, found in zip(b.chunk_id, faults) for i, fs in found.items() for f in sorted(fs)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return rows.mapInPandas(run, schema)
+            return [(cid, repair(text, faults[t], {i: e for (k, i), e in found.items() if k == t})) for t, (cid, text) in enumerate(zip(b.chunk_id, b.text))]
+        for t, i in found:
+            faults[t].setdefault(i, set()).add("misread")
+        return [(cid, i, f) for cid, fs in zip(b.chunk_id, faults) for i, kinds in fs.items() for f in sorted(kinds)]
+
+    keyed = "lot long, key long"
+    first = settle(rows.select("lot", "text").groupBy("lot").applyInPandas(own, keyed).join(counts, "key"))
+    more = rows.groupBy("lot").cogroup(first.groupBy("lot")).applyInPandas(edits, keyed)
+    both = first.unionByName(settle(more.join(counts, "key")))
+    return rows.groupBy("lot").cogroup(both.groupBy("lot")).applyInPandas(final, schema)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
