@@ -2,11 +2,12 @@
 
 A text longer than ``limit`` characters is cut into pieces of at most ``limit``,
 neighbours sharing exactly ``overlap`` characters. The boundaries are the
-positions after a paragraph, a sentence, a word, and, where nothing else is
-within reach, any character. Every boundary has one farthest legal successor:
-the last paragraph end within reach of the next piece (which starts ``overlap``
-before the boundary), else the last sentence end, word end or character. All
-greedy cuts follow from squaring the successor table: after k squarings every
+positions after a paragraph, a sentence (as the sentence splitter reads its
+signs), a word, and, where nothing else is within reach, any letter with its
+marks. Every boundary has one farthest legal successor: the last paragraph end
+within reach of the next piece (which starts ``overlap`` before the boundary),
+else the last sentence end, word end or letter; of each kind rather one from
+which the next piece starts with a whole letter too. All greedy cuts follow from squaring the successor table: after k squarings every
 start has marked 2^k cuts, so the cuts of a text with n pieces take log2(n)
 whole-array steps instead of a walk. The tables of all texts of an Arrow batch
 are one array, so short and long texts share the steps.
@@ -21,30 +22,60 @@ one piece. Pieces cover the text and carry the item's own columns along.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from heddle.llm.common import delivered_once, table
+from heddle.llm.sentences import sign_ends
 
 LIMIT, OVERLAP = 1500, 150
 # Position after the match is a boundary; classes from the best to the worst.
 PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*|\n")
-SENTENCE = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s)\s*|[。！？]+[」』”’）]*")
 WORD = re.compile(r"\s+|[,;:、，；：]")
 
 
+@cache
+def _bound() -> np.ndarray:
+    """For code points: 1 if it belongs to the character before it, 2 if to the one after it."""
+    out = np.zeros(0x110000, np.uint8)
+    for lo, hi in ((0, 0x20000), (0xE0100, 0xE01F0)):
+        out[[c for c in range(lo, hi) if unicodedata.category(chr(c)) in ("Mn", "Mc", "Me")]] = 1
+    out[[0x0E33, 0x0EB3]] = 1  # vowels written after their consonant
+    out[0x200D] = 3  # joins both
+    out[0xD] = 2
+    out[0x0E40:0x0E45] = 2  # vowels written before their consonant
+    return out
+
+
 def boundary_classes(text: str) -> np.ndarray:
-    """For positions 0..len: 3 after a paragraph, 2 a sentence, 1 a word, 0 otherwise."""
+    """For positions 0..len: 3 after a paragraph, 2 a sentence, 1 a word, 0 a letter, -1 within a letter and its marks."""
     rank = np.zeros(len(text) + 1, np.int8)
-    for value, pattern in ((1, WORD), (2, SENTENCE), (3, PARAGRAPH)):
-        at = [m.end() for m in pattern.finditer(text)]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) > 1:
+        bound = _bound()[codes]
+        rank[1:-1][((bound[1:] & 1) | (bound[:-1] & 2)) != 0] = -1
+    ends = [e + len(text[e : e + 64]) - len(text[e : e + 64].lstrip()) for e in sign_ends(text)]
+    for value, at in ((1, [m.end() for m in WORD.finditer(text)]), (2, ends), (3, [m.end() for m in PARAGRAPH.finditer(text)])):
         rank[at] = np.maximum(rank[at], value)
     return rank
 
 
+CLASSES = (3, 2, 1, 0)
+
+
+def _starts_whole(rank: np.ndarray, overlap: int) -> np.ndarray:
+    """For every position as a cut: the next piece starts between letters."""
+    out = np.ones(len(rank), bool)
+    if overlap:
+        out[overlap:] = rank[:-overlap] >= 0
+    return out
+
+
 def successors(rank: np.ndarray, limit: int, overlap: int) -> np.ndarray:
     """For each position taken as a cut, the farthest legal next cut; the end of the text is its own.
 
@@ -56,12 +87,14 @@ def successors(rank: np.ndarray, limit: int, overlap: int) -> np.ndarray:
     reach = np.minimum(here - overlap + limit, n)
     out = reach.copy()
     settled = reach >= n
-    for value in (3, 2, 1):
-        last = np.maximum.accumulate(np.where(rank == value, here, -1))[reach]
-        # a cut must gain at least as much as the next piece repeats, or pieces would hardly advance
-        good = ~settled & (last > here + overlap)
-        out[good] = last[good]
-        settled |= good
+    whole = _starts_whole(rank, overlap)
+    for value in CLASSES:
+        for kind in (whole, ~whole):
+            last = np.maximum.accumulate(np.where((rank == value) & kind, here, -1))[reach]
+            # a cut must gain at least as much as the next piece repeats, or pieces would hardly advance
+            good = ~settled & (last > here + overlap)
+            out[good] = last[good]
+            settled |= good
     return out
 
 
@@ -81,10 +114,12 @@ def greedy_cuts(next_cut: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def first_cut(rank: np.ndarray, limit: int, overlap: int) -> int:
     """The first piece starts at 0 and repeats nothing."""
-    for value in (3, 2, 1):
-        at = np.flatnonzero(rank[: limit + 1] == value)
-        if len(at) and at[-1] > overlap:
-            return int(at[-1])
+    whole = _starts_whole(rank, overlap)[: limit + 1]
+    for value in CLASSES:
+        for kind in (whole, ~whole):
+            at = np.flatnonzero((rank[: limit + 1] == value) & kind)
+            if len(at) and at[-1] > overlap:
+                return int(at[-1])
     return limit
 
 
