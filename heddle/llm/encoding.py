@@ -257,12 +257,18 @@ def _masked(text: str, spans: list[Span]) -> str:
 
 def restore(text: str, learned: tuple[tuple[str, str], ...] = ()) -> str:
     """The text with every stretch that can be regained, repeated for text garbled twice."""
+    return _restored(text, garbled_spans(text, learned), learned)[0]
+
+
+def _restored(text: str, spans: list[Span], learned: tuple[tuple[str, str], ...]) -> tuple[str, bool]:
+    """The restored text, and whether nothing garbled is left; ``spans``: those of the text."""
     for _ in range(3):
-        spans = [s for s in garbled_spans(text, learned) if s[4] is not None]
-        if not spans:
+        good = [s for s in spans if s[4] is not None]
+        if not good:
             break
-        text = _apply(text, sorted(spans))
-    return text
+        text = _apply(text, sorted(good))
+        spans = garbled_spans(text, learned)
+    return text, not spans
 
 
 def align(garbled: str, clean: str) -> Counter:
@@ -337,8 +343,8 @@ def restore_garbled(df: DataFrame, key: str = "chunk_id", text: str = "text") ->
             for k, t in zip(b["chunk_id"], b["text"]):
                 spans = garbled_spans(t, pairs)
                 if spans:
-                    made = restore(t, pairs)
-                    out.append((k, t, made, not garbled_spans(made, pairs), any(x[2:4] in pairs for x in spans)))
+                    made, whole = _restored(t, spans, pairs)
+                    out.append((k, t, made, whole, any(x[2:4] in pairs for x in spans)))
             yield pd.DataFrame(out, columns=["chunk_id", "text", "restored", "complete", "learned"])
 
     bad = rows.filter("odd").select(F.col(key).alias("chunk_id"), "text").repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
