@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession, Window as W, functions as F
 from heddle.functions import text as T
 from heddle.operators import graph, lexical, ranking, vectors
 from heddle.plans.tables import CHUNKS, CLAIMS, EVENTS, USERS, chunks, claims, match_events, users
-from heddle.session import settle, table
+from heddle.session import settle, small, table
 
 QUERIES, SQL = {}, {}
 
@@ -230,9 +230,9 @@ def jn32_gold_chunks(spark: SparkSession, d: str):
         raise ValueError("more keywords than one pass takes; split the questions into blocks")
     c = chunks(spark, d, "text").filter("text is not null").select("chunk_id", F.lower("text").alias("t"))
     held = F.filter(F.array(*[F.lit(w) for w in words]), lambda k: F.contains(F.col("t"), F.lower(k)))
-    met = c.select("chunk_id", F.explode(held).alias("keyword")).join(F.broadcast(q), "keyword")
+    met = c.select("chunk_id", F.explode(held).alias("keyword")).join(small(q, 100_000), "keyword")
     need = q.groupBy("qid").agg(F.count("*").alias("n_keywords"))
-    return met.groupBy("qid", "chunk_id").agg(F.count("*").alias("hits")).join(F.broadcast(need), "qid").filter(F.col("hits") >= F.ceil(F.col("n_keywords") / 2)).select("qid", "chunk_id", "hits", "n_keywords")
+    return met.groupBy("qid", "chunk_id").agg(F.count("*").alias("hits")).join(small(need, 100_000), "qid").filter(F.col("hits") >= F.ceil(F.col("n_keywords") / 2)).select("qid", "chunk_id", "hits", "n_keywords")
 
 
 MAX_KEYWORDS = 2000

@@ -40,16 +40,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, name: str = "part") -> str:
+    """A new path in the application's own part of the shared folder, which is removed when the application ends."""
+    root = f"{shared_folder(spark).rstrip('/')}/heddle/{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it from there.
 
     Parquet keeps column pruning and filter pushdown for later reads, which a
     checkpointed RDD does not; the files survive the loss of executors.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/heddle/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

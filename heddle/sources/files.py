@@ -7,9 +7,9 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F
 
-from heddle.session import shared_folder
+from heddle.session import scratch
 
 SKIPPED = frozenset({"script", "style", "nav", "header", "footer", "aside", "noscript", "svg", "form", "template"})
 BLOCKS = frozenset({"p", "div", "section", "article", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "table", "blockquote", "figure", "main"})
@@ -95,25 +95,36 @@ def cached(df: DataFrame, cache: DataFrame | None, key: str, digest: str, work)
 
 
 def write_snapshot(df: DataFrame, folder: str) -> str:
-    """Write a version, check its rows, then point to it: readers see the old one or the new one, whole."""
+    """Write a version, check its columns and rows, then point to it.
+
+    The pointer is a file that another takes the place of in one rename, so a
+    reader finds the old version or the new one, whole, at any time.
+    """
     spark = df.sparkSession
     version = uuid.uuid4().hex
-    df.write.parquet(f"{folder}/versions/{version}")
-    if spark.read.parquet(f"{folder}/versions/{version}").schema.names != df.schema.names:
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/versions/{version}")
+    made = spark.read.parquet(f"{folder}/versions/{version}")
+    if made.schema.names != df.schema.names or made.count() != seen.get["n"]:
         raise RuntimeError("the snapshot is not what was written")
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    draft, final = jvm.org.apache.hadoop.fs.Path(f"{folder}/_active.{version}"), jvm.org.apache.hadoop.fs.Path(f"{folder}/ACTIVE")
-    out = fs.create(draft, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    fs.delete(final, False)
-    if not fs.rename(draft, final):
-        raise RuntimeError("the pointer could not be moved")
+    publish(spark, f"{folder}/ACTIVE", version)
     return version
 
 
+def publish(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small file in place of the one at ``path``, in one step."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    final, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = final.getFileSystem(conf).create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    kind = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.getFileSystem(conf).getUri(), conf)
+    context.rename(draft, final, how)
+
+
 def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     version = spark.read.text(f"{folder}/ACTIVE").first()[0]
     return spark.read.parquet(f"{folder}/versions/{version}")
@@ -126,17 +137,30 @@ def split_mapped(df: DataFrame, dimension: DataFrame, key: str) -> tuple[DataFra
 
 
 def to_markdown(df: DataFrame, limit: int = 100) -> str:
-    """A report table for people: at most ``limit`` rows."""
-    rows = df.limit(limit).collect()
+    """A report table for people: at most ``limit`` rows; a last line says if there are more."""
+    rows = df.limit(limit + 1).collect()
     line = lambda xs: "| " + " | ".join("" if x is None else str(x).replace("|", "\\|") for x in xs) + " |"
-    return "\n".join([line(df.columns), "|" + " --- |" * len(df.columns), *[line(r) for r in rows]])
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/heddle/{name}-{uuid.uuid4().hex}"
+    more = [f"More than {limit} rows."] if len(rows) > limit else []
+    return "\n".join([line(df.columns), "|" + " --- |" * len(df.columns), *[line(r) for r in rows[:limit]], *more])
 
 
 def running_pages(df: DataFrame, group: str, order: str, pages: str) -> DataFrame:
     """First page number of each file of a group when files are read one after the other."""
     before = F.sum(pages).over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
     return df.withColumn("first_page", F.coalesce(before, F.lit(0)) + 1)
+
+
+def overlay(pages: DataFrame, verified: DataFrame, key: list[str], text: str) -> DataFrame:
+    """Text that a person has verified takes the place of what was read; ``source`` says which it is."""
+    v = verified.select(*key, F.col(text).alias("__v"))
+    both = pages.join(v, key, "left")
+    return both.withColumn("source", F.when(F.col("__v").isNotNull(), "verified").otherwise("read")).withColumn(text, F.coalesce("__v", text)).drop("__v")
+
+
+def corrected(text: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
+    """The text after find and replace in order, and how many rules found something at their turn."""
+    applied = F.lit(0)
+    for old, new in rules:
+        applied = applied + F.contains(text, F.lit(old)).cast("int")
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text, applied
