@@ -208,23 +208,42 @@ def _word_key(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
 
 
+_SCATTER = np.uint64(0x9E3779B97F4A7C15)
+
+
 class Counts:
     """Counts by key (of pieces their sums, of words a hash); what is asked for and not there is remembered."""
 
     def __init__(self, keys: np.ndarray, n: np.ndarray):
-        order = np.argsort(keys, kind="stable")
+        mixed = keys * _SCATTER
+        order = np.argsort(mixed)
         self.keys, self.n = keys[order], n[order].astype(np.int64)
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(mixed[order] >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
         self.asked: list[np.ndarray] = []
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            self.asked.append(np.unique(keys))
-            return np.zeros(keys.shape, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        there = self.keys[at] == keys
-        if not there.all():
-            self.asked.append(np.unique(keys[~there]))
-        return np.where(there, self.n[at], 0)
+        """By buckets of the scattered keys, which hold one key on average: all keys go through theirs together."""
+        flat = keys.ravel()
+        bucket = (flat * _SCATTER) >> self.shift
+        at, end = self.first[bucket], self.first[bucket + np.uint64(1)]
+        out = np.zeros(len(flat), np.int64)
+        open_ = np.flatnonzero(at < end)
+        missing = [np.flatnonzero(at >= end)]
+        while len(open_):
+            here = at[open_]
+            hit = self.keys[here] == flat[open_]
+            out[open_[hit]] = self.n[here[hit]]
+            open_ = open_[~hit]
+            at[open_] += 1
+            more = at[open_] < end[open_]
+            missing.append(open_[~more])
+            open_ = open_[more]
+        missed = np.concatenate(missing)
+        if len(missed):
+            self.asked.append(np.unique(flat[missed]))
+        return out.reshape(keys.shape)
 
     def word(self, word: str) -> int:
         return int(self.of(np.array([_word_key(word)], np.uint64))[0])
