@@ -137,14 +137,14 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
     n_packed = 1 + max((f + -(-p // per) - 1 for _, _, p, f, per in plan), default=-1)
     offsets = spark.createDataFrame(cells[["rest", "salt", "offset"]].astype("int64"), "rest long, salt int, offset long")
     steps = pd.DataFrame(plan, columns=["rest", "from", "places", "first", "per"])
-    # runs of one size lie side by side; a document finds its run by binary search in two arrays of its size
+    # runs of one size lie side by side; a document finds its run in the array of its size
     lists = steps.groupby("rest").agg(list).reset_index() if len(steps) else pd.DataFrame({c: [] for c in steps.columns})
     runs = spark.createDataFrame(lists.values.tolist(), "rest long, `from` array<long>, places array<long>, first array<long>, per array<long>")
     at = placed.join(F.broadcast(offsets), ["rest", "salt"]).withColumn("place", F.col("rank") + F.col("offset"))
     at = at.join(F.broadcast(runs), "rest", "left")
-    # `from` rises, so the run is the last that begins at or before the place
-    i = F.expr("size(filter(`from`, x -> x <= place))")
-    packed = F.when(F.col("rest") > 0, F.element_at("first", i) + F.expr(f"(place - element_at(`from`, size(filter(`from`, x -> x <= place)))) div element_at(per, size(filter(`from`, x -> x <= place)))"))
+    # `from` rises, so the run is the last that begins at or before the place; its number is worked out once a row
+    at = at.withColumn("run", F.expr("size(filter(`from`, x -> x <= place))"))
+    packed = F.when(F.col("rest") > 0, F.element_at("first", F.col("run")) + F.expr("(place - element_at(`from`, run)) div element_at(per, run)"))
     last = at.select("k", F.col("whole").cast("int").alias("part"), F.col("rest").alias("n_tokens"), packed.alias("container")).filter("n_tokens > 0 or part = 0")
     # whole containers: numbered by salt, key within the salt
     base = cells.groupby("salt")["whole"].sum().astype("int64").sort_index()
@@ -160,4 +160,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(token_sizes(docs, "doc_id", "text"), "doc_id", "n_tokens")
 
 
-QUERIES = {"p8_containers": p8_containers}
+def p8_space(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers there are, how full they are, and the share of space that stays unused."""
+    full = p8_containers(spark, d).filter("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    room = F.count("*") * CAPACITY
+    return full.agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"), F.round(1 - F.sum("n") / room, 6).alias("unused_share"))
+
+
+QUERIES = {"p8_containers": p8_containers, "p8_space": p8_space}

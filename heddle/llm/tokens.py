@@ -122,6 +122,7 @@ class DoubleArray:
 
 SEGMENT = re.compile("▁*[^▁]+|▁+")
 SCALE = 1000
+LONG = 32_000  # bytes of a segment up to which score and count share one number
 
 
 class UnigramCounter:
@@ -131,11 +132,15 @@ class UnigramCounter:
         self.trie = DoubleArray([p.encode() for p in pieces])
         finite = [s for s in scores if s > -1e8]
         least = min(finite, default=0.0)
-        self.key = np.round(np.maximum(scores, least - 5.0) * SCALE).astype(np.int64) * 65536 - 1
+        self.score = np.round(np.maximum(scores, least - 5.0) * SCALE).astype(np.int64)
         self.unknown = int(round((least - 10.0) * SCALE))
 
     def segments(self, segments: Sequence[str]) -> np.ndarray:
-        """Token counts of segments; all of a call advance together, byte by byte."""
+        """Token counts of segments; all of a call advance together, byte by byte.
+
+        Up to LONG bytes a path's key is score * 65536 - count; beyond, where
+        that would overflow, score and count are two numbers.
+        """
         raw = [s.encode("utf-8", "surrogatepass") for s in segments]
         size = np.array([len(r) for r in raw], np.int64)
         counts = np.zeros(len(raw), np.int64)
@@ -154,23 +159,35 @@ class UnigramCounter:
         width = after - starts
         begin = np.concatenate([begin, starts])
         end = np.concatenate([end, after])
-        gain = np.concatenate([self.key[word], self.unknown * 65536 * width - width])
+        score = np.concatenate([self.score[word], self.unknown * width])
+        tokens = np.concatenate([np.ones(len(word), np.int64), width])
         seg = owner[begin]
         slot0 = first + np.arange(len(raw))
         source, target = begin + seg, end + seg
         rel = end - first[seg]
         order = np.lexsort((target, rel))
-        source, target, gain, rel = source[order], target[order], gain[order], rel[order]
+        source, target, score, tokens, rel = source[order], target[order], score[order], tokens[order], rel[order]
         best = np.full(len(data) + len(raw), np.iinfo(np.int64).min // 2, np.int64)
         best[slot0] = 0
         edges = np.flatnonzero(np.diff(rel, prepend=-1))
-        for lo, hi in zip(edges, np.append(edges[1:], len(rel))):
-            t = target[lo:hi]
-            cut = np.flatnonzero(np.diff(t, prepend=-1))
-            best[t[cut]] = np.maximum.reduceat(best[source[lo:hi]] + gain[lo:hi], cut)
-        final = best[slot0 + size]
-        # a path's key is score * 65536 - count
-        counts = (-final) % 65536
+        if size.max() <= LONG:
+            gain = score * 65536 - tokens
+            for lo, hi in zip(edges, np.append(edges[1:], len(rel))):
+                t = target[lo:hi]
+                cut = np.flatnonzero(np.diff(t, prepend=-1))
+                best[t[cut]] = np.maximum.reduceat(best[source[lo:hi]] + gain[lo:hi], cut)
+            counts = (-best[slot0 + size]) % 65536
+        else:
+            fewest = np.zeros(len(best), np.int64)
+            for lo, hi in zip(edges, np.append(edges[1:], len(rel))):
+                t = target[lo:hi]
+                cut = np.flatnonzero(np.diff(t, prepend=-1))
+                paths, held = best[source[lo:hi]] + score[lo:hi], fewest[source[lo:hi]] + tokens[lo:hi]
+                top = np.maximum.reduceat(paths, cut)
+                ties = paths == np.repeat(top, np.diff(np.append(cut, hi - lo)))
+                best[t[cut]] = top
+                fewest[t[cut]] = np.minimum.reduceat(np.where(ties, held, np.iinfo(np.int64).max), cut)
+            counts = fewest[slot0 + size]
         counts[size == 0] = 0
         return counts
 
@@ -202,12 +219,10 @@ class UnigramCounter:
             if not text:
                 continue
             for s in SEGMENT.findall("▁" + text.replace(" ", "▁")):
-                for k in range(0, len(s), 8000):  # a count must stay under 65536
-                    piece = s[k : k + 8000]
-                    if piece not in index:
-                        index[piece] = len(index)
-                        held += len(piece)
-                    pairs.append((t, index[piece]))
+                if s not in index:
+                    index[s] = len(index)
+                    held += len(s)
+                pairs.append((t, index[s]))
             if held > budget:
                 flush()
                 held = 0
