@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from heddle.session import settle
+from heddle.session import settle, small
 
 
 def rank_by(df: DataFrame, group: Sequence[str], score: str, key: str, name: str = "rank") -> DataFrame:
@@ -102,6 +102,25 @@ def greedy_budget(items: Column, budget: int) -> Column:
     return F.aggregate(items, empty, take, lambda acc: acc["kept"])
 
 
+def order_statistics(df: DataFrame, group: Sequence[str], value: str, wanted: DataFrame) -> DataFrame:
+    """(group, pos, value): the values at the positions that ``wanted`` (group, pos from 1) asks for.
+
+    Equal values are counted first, the distinct ones sorted in range partitions,
+    and running counts become positions by the offset of each partition: no
+    group is sorted in one task.
+    """
+    per = df.groupBy(*group, value).agg(F.count("*").alias("__n"))
+    parts = max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = settle(per.repartitionByRange(parts, *group, value).sortWithinPartitions(*group, value).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy("__part", *group).agg(F.sum("__n").alias("__m"))
+    before = W.partitionBy(*group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select("__part", *group, F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__before"))  # at most partitions + groups rows
+    inside = F.sum("__n").over(W.partitionBy("__part", *group).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    upto = ranged.withColumn("__upto", inside).join(F.broadcast(offsets), ["__part", *group]).withColumn("__upto", F.col("__upto") + F.col("__before"))
+    met = upto.join(small(wanted, 100_000), list(group)).filter("pos > __upto - __n and pos <= __upto")
+    return met.select(*group, "pos", value)
+
+
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, query: str, key: str, k: int, excluded: DataFrame | None = None) -> DataFrame:
     """Per query: precision (hits/k), recall (hits/relevant), MRR, nDCG and violations (excluded in the top k / k), four places.
 

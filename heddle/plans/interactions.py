@@ -244,24 +244,23 @@ q as (select event_type, n, k, (n + 1) * k / 4.0 p from (select distinct event_t
 j as (select q.event_type, k, least(greatest(floor(p), 1), n - 1) i, p, n from q)
 select j.event_type, k quartile, round(max(case when r.rn = i then r.value end) + (max(case when r.rn = i + 1 then r.value end) - max(case when r.rn = i then r.value end)) * (p - i), 4) value from j join r on r.event_type = j.event_type and r.rn in (i, i + 1) group by j.event_type, k, p, i""")
 def agg10_exclusive_quartiles(spark: SparkSession, d: str):
-    """Quartiles by the exclusive rule: interpolated at (n + 1) k / 4. Groups are sorted once, in their own partitions."""
-    e = table(spark, d, "events").select("event_type", "value", "event_id")
-    r = e.select("event_type", "value", F.row_number().over(W.partitionBy("event_type").orderBy("value", "event_id")).alias("rn"))
+    """Quartiles by the exclusive rule: interpolated at (n + 1) k / 4, between two order statistics."""
+    e = table(spark, d, "events").select("event_type", "value")
     n = e.groupBy("event_type").agg(F.count("*").alias("n"))
     want = n.select("event_type", "n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("quartile")).withColumn("p", (F.col("n") + 1) * F.col("quartile") / 4)
     want = want.withColumn("i", F.least(F.greatest(F.floor("p"), F.lit(1)), F.col("n") - 1))
-    met = want.select("*", F.explode(F.array(F.col("i"), F.col("i") + 1)).alias("rn")).join(r, ["event_type", "rn"])
-    low, high = F.max(F.when(F.col("rn") == F.col("i"), F.col("value"))), F.max(F.when(F.col("rn") == F.col("i") + 1, F.col("value")))
+    ends = want.select("event_type", "quartile", "p", "i", F.explode(F.array(F.col("i"), F.col("i") + 1)).alias("pos"))
+    met = ranking.order_statistics(e, ["event_type"], "value", ends.select("event_type", "pos").distinct()).join(ends, ["event_type", "pos"])
+    low, high = F.max(F.when(F.col("pos") == F.col("i"), F.col("value"))), F.max(F.when(F.col("pos") == F.col("i") + 1, F.col("value")))
     return met.groupBy("event_type", "quartile", "p", "i").agg(F.round(low + (high - low) * (F.first("p") - F.first("i")), 4).alias("value")).select("event_type", "quartile", "value")
 
 
 @query("select event_type, list_sort(list(value))[1 + round_even(0.95 * (count(*) - 1), 0)::int] p95 from events group by 1")
 def agg15_nearest_rank(spark: SparkSession, d: str):
     """Nearest-rank percentile, index rounded half to even."""
-    e = table(spark, d, "events").select("event_type", "value", "event_id")
-    r = e.select("event_type", "value", F.row_number().over(W.partitionBy("event_type").orderBy("value", "event_id")).alias("rn"))
-    at = e.groupBy("event_type").agg((1 + F.bround(0.95 * (F.count("*") - 1), 0)).cast("int").alias("rn"))
-    return r.join(at, ["event_type", "rn"]).select("event_type", F.col("value").alias("p95"))
+    e = table(spark, d, "events").select("event_type", "value")
+    at = e.groupBy("event_type").agg((1 + F.bround(0.95 * (F.count("*") - 1), 0)).cast("long").alias("pos"))
+    return ranking.order_statistics(e, ["event_type"], "value", at).select("event_type", F.col("value").alias("p95"))
 
 
 @query("""with r as (select event_type, event_id, value, row_number() over (partition by event_type order by value desc, event_id) k from events) select event_type, event_id, value, k rank from r where k <= 10""")

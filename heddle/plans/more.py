@@ -94,9 +94,13 @@ def mth16_weighted_draw(spark: SparkSession, d: str):
 
 @query(f"with {MESSAGES}, t as (select user_id, id, ts from m where user_id is not null and ts is not null and lower(trim(role, {WS})) in ('user', 'human')) select user_id, id, lead(id) over (partition by user_id order by ts, id) next_id from t")
 def stm10_next_user_turn(spark: SparkSession, d: str):
-    """Where the reply to a user's message must end: the user's next message."""
+    """Where the reply to a user's message must end: the user's next message. A user may have very many, so days are ordered apart and joined by their first."""
     m = messages(spark, d, "role").filter(clean_key("role").isin("user", "human") & F.col("user_id").isNotNull() & F.col("ts").isNotNull())
-    return m.select("user_id", "id", F.lead("id").over(W.partitionBy("user_id").orderBy("ts", "id")).alias("next_id"))
+    m = m.select("user_id", "id", "ts", F.floor(F.col("ts") / 86_400).alias("day"))
+    inside = m.withColumn("next", F.lead("id").over(W.partitionBy("user_id", "day").orderBy("ts", "id")))
+    first = m.groupBy("user_id", "day").agg(F.min(F.struct("ts", "id")).alias("f"))
+    later = first.select("user_id", "day", F.lead("f.id").over(W.partitionBy("user_id").orderBy("day")).alias("later"))
+    return inside.join(later, ["user_id", "day"]).select("user_id", "id", F.coalesce("next", "later").alias("next_id"))
 
 
 @query(f"with {EVENTS}, {MESSAGES}, z as (select k from (select lower(trim(user_id, {WS})) k, arg_max(coalesce(deleted_at, timestamptz '9999-01-01'), updated_at) x from users where trim(user_id, {WS}) <> '' group by 1) where x < timestamptz '9999-01-01') select 'match_events' tbl, count(*) n from e where coalesce(from_user, '') not in (select k from z) and coalesce(about_user, '') not in (select k from z) union all select 'messages', count(*) from m where coalesce(user_id, '') not in (select k from z)")
