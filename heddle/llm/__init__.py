@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import importlib.util
 
 MODULES = ("conversations", "budget", "scans", "splitting", "encoding", "sentences", "packing", "leaks", "quality")
 
