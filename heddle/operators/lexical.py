@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from heddle.session import settle, small
+from heddle.session import observed, settle, small
 
 MOST_TERMS = 200_000  # terms of the queries that are sent to every task; beyond it they are joined
 
@@ -41,12 +41,12 @@ def hits(queries: DataFrame, query: str, query_text: str, df: DataFrame, key: st
     """One pass over the texts: hits are counted and written, rows and sizes observed on the way. Texts without a term are left out."""
     asked = queries.select(query, F.explode(F.array_distinct(terms_of(F.col(query_text)))).alias("term"))
     wanted = small(asked.select("term").distinct(), MOST_TERMS)
-    seen = Observation()
     rows = df.filter(F.col(text).isNotNull()).select(key, terms_of(F.col(text)).alias("terms")).withColumn("size", F.size("terms")).filter("size > 0")
-    rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    rows, seen = observed(rows, n=F.count(F.lit(1)), total=F.sum("size"))
     met = rows.select(key, "size", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy(key, "term", "size").agg(F.count("*").alias("tf"))
     met = settle(met)
-    n, total = seen.get["n"] or 0, seen.get["total"] or 0
+    taken = seen()
+    n, total = taken["n"] or 0, taken["total"] or 0
     return Hits(met, asked, n, total / n if n else 0.0, key, query)
 
 

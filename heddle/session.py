@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -66,3 +67,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def observed(df: DataFrame, **measures: Column) -> tuple[DataFrame, Callable[[], dict]]:
+    """``df`` with aggregates that are taken on the way, and a call that gives them once an action has run.
+
+    Where the plan turned out to be empty nothing is taken, and they are computed.
+    """
+    seen = Observation()
+    named = [c.alias(k) for k, c in measures.items()]
+
+    def get() -> dict:
+        try:
+            return seen.get
+        except Exception:  # the JVM's assertion on an empty set of metrics
+            return df.agg(*named).first().asDict()
+
+    return df.observe(seen, *named), get

@@ -7,9 +7,9 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from heddle.session import scratch
+from heddle.session import observed, scratch
 
 SKIPPED = frozenset({"script", "style", "nav", "header", "footer", "aside", "noscript", "svg", "form", "template"})
 BLOCKS = frozenset({"p", "div", "section", "article", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "table", "blockquote", "figure", "main"})
@@ -102,10 +102,10 @@ def write_snapshot(df: DataFrame, folder: str) -> str:
     """
     spark = df.sparkSession
     version = uuid.uuid4().hex
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/versions/{version}")
+    rows, seen = observed(df, n=F.count(F.lit(1)))
+    rows.write.parquet(f"{folder}/versions/{version}")
     made = spark.read.parquet(f"{folder}/versions/{version}")
-    if made.schema.names != df.schema.names or made.count() != seen.get["n"]:
+    if made.schema.names != df.schema.names or made.count() != seen()["n"]:
         raise RuntimeError("the snapshot is not what was written")
     publish(spark, f"{folder}/ACTIVE", version)
     return version
