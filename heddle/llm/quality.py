@@ -115,7 +115,7 @@ def _score(rows: DataFrame, tails: DataFrame, names: tuple[str, ...], key: str)
 def outlier_scores(stats: DataFrame, key: str = "doc_id", names: tuple[str, ...] = STATISTICS) -> DataFrame:
     """The statistics with ``score``, of all rows, against the calm distinct texts; two-sided for mean_word_length."""
     both = F.explode(F.array("language", F.lit(ALL))).alias("language")
-    texts = stats.groupBy("language", "same").agg(F.first(F.struct(*names)).alias("r")).select("language", "same", "r.*")  # equal texts have equal statistics
+    texts = stats.groupBy("language", "same").agg(F.first(F.struct(*names)).alias("r")).select("language", F.xxhash64("same", "language").alias("same"), "r.*")  # equal texts have equal statistics
     texts = settle(texts)
     first = _score(texts, tail_table(texts.select(both, *names), names), names, "same")
     calm = settle(first.withColumn("calm", (F.col("score") <= CALM).cast("int")).drop("score"))
