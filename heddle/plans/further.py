@@ -294,3 +294,74 @@ def jn27_avoided_reports(spark: SparkSession, d: str):
     n = v.groupBy("id").agg(F.count("*").alias("n"))
     own = v.select(F.col("avoider").alias("reported"), "id", F.lit(1).alias("own"))
     return r.join(n, "id").join(own, ["reported", "id"], "left").select("reported", "id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n_avoiders")).filter("n_avoiders > 0")
+
+
+# --- questions, facts and passages -----------------------------------------------------------------------------------
+
+STOP = ["how", "does", "relate", "to", "the", "a", "of", "is", "what"]
+
+
+@query(f"with q as (select qid, list_distinct(list_filter(regexp_extract_all(lower(question), '[a-z]+'), lambda w: w not in ({', '.join(repr(w) for w in STOP)}))) w, list_distinct(flatten(list_transform(expected_keywords, lambda k: regexp_extract_all(lower(k), '[a-z]+')))) k from rag_questions where question is not null) select qid, array_to_string(list_sort(list_filter(w, lambda x: not list_contains(coalesce(k, []), x))), ' ') details from q")
+def str53_detail_terms(spark: SparkSession, d: str):
+    """Words of a question without its topics and stop words."""
+    of = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), F.lit(1))
+    q = table(spark, d, "rag_questions").filter("question is not null")
+    topics = F.coalesce(F.flatten(F.transform("expected_keywords", of)), F.array().cast("array<string>"))
+    left = F.array_except(F.filter(of(F.col("question")), lambda w: ~w.isin(STOP)), topics)
+    return q.select("qid", F.array_join(F.sort_array(left), " ").alias("details"))
+
+
+@query(f"with {CLAIMS} select claim_id, '(' || subject_id || ') -[' || predicate || ']-> (' || object_concept_id || ')' fact, split_part(subject_id, ':', 2) || case predicate when 'leads_to' then ' leads to ' when 'reduces' then ' reduces ' else ' goes with ' end || split_part(object_concept_id, ':', 2) sentence from l where trim(subject_id) <> '' and trim(object_concept_id) <> ''")
+def str29_fact_sentences(spark: SparkSession, d: str):
+    """Facts of the graph as arrows, and read back from those as sentences."""
+    l = claims(spark, d, "subject_id", "predicate", "object_concept_id").filter("trim(subject_id) <> '' and trim(object_concept_id) <> ''")
+    fact = F.concat(F.lit("("), F.col("subject_id"), F.lit(") -["), F.col("predicate"), F.lit("]-> ("), F.col("object_concept_id"), F.lit(")"))
+    x = l.select("claim_id", fact.alias("fact"))
+    part = lambda k: F.regexp_extract("fact", r"^\((.+?)\) -\[(\w+)\]-> \((.+?)\)$", k)
+    verb = F.when(part(2) == "leads_to", " leads to ").when(part(2) == "reduces", " reduces ").otherwise(" goes with ")
+    return x.select("claim_id", "fact", F.concat(F.split_part(part(1), F.lit(":"), F.lit(2)), verb, F.split_part(part(3), F.lit(":"), F.lit(2))).alias("sentence"))
+
+
+@query(f"with {CLAIMS}, s as (select chunk_id, count(*) n, count(*) filter (trim(quote) <> '' and polarity in ('affirmed', 'negated', 'hedged')) valid from l where chunk_id is not null group by 1) select chunk_id, n, valid, n <= 3 and n = valid reusable from s")
+def sup35_revalidated_cache(spark: SparkSession, d: str):
+    """Cached claims of a chunk that may be used again: at most three, all of them well formed."""
+    ok = F.coalesce((F.trim("quote") != "") & F.col("polarity").isin("affirmed", "negated", "hedged"), F.lit(False))
+    s = claims(spark, d, "quote", "polarity").filter("chunk_id is not null").groupBy("chunk_id").agg(F.count("*").alias("n"), F.sum(ok.cast("int")).alias("valid"))
+    return s.select("chunk_id", "n", "valid", ((F.col("n") <= 3) & (F.col("n") == F.col("valid"))).alias("reusable"))
+
+
+@query(f"with {MESSAGES}, x as (select id, text, list_min(list_filter([instr(text, 'อยาก'), instr(text, 'ชอบ'), instr(text, 'want')], lambda p: p > 0)) p from m where text is not null) select id, left(text, (p - 1)::bigint) own, substr(text, p::bigint) wanted from x where p is not null")
+def sup25_split_messages(spark: SparkSession, d: str):
+    """Messages cut in two at the first cue of a wish."""
+    p = F.array_min(F.filter(F.array(*[F.instr("text", F.lit(w)) for w in ("อยาก", "ชอบ", "want")]), lambda i: i > 0))
+    x = messages(spark, d, "text").filter("text is not null").select("id", "text", p.alias("p")).filter("p is not null")
+    return x.select("id", F.left("text", F.col("p") - 1).alias("own"), F.substring("text", F.col("p"), F.length("text")).alias("wanted"))
+
+
+@query(f"with {MESSAGES}, x as (select user_id, intent, max(ts) t, count(*) n from m where user_id is not null and intent is not null group by all), r as (select *, row_number() over (partition by user_id order by t desc, intent) pos from x) select user_id, intent, n, pos from r where pos <= 3")
+def sup29_facts_by_recency(spark: SparkSession, d: str):
+    """A user's three newest intents, each with its number: summed up before they are ordered."""
+    x = messages(spark, d, "intent").filter("user_id is not null and intent is not null").groupBy("user_id", "intent").agg(F.max("ts").alias("t"), F.count("*").alias("n"))
+    return x.withColumn("pos", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("t"), "intent"))).filter("pos <= 3").select("user_id", "intent", "n", "pos")
+
+
+@query(f"with {USERS}, {CHUNKS}, t as (select distinct user_id, x.id c from (select user_id, unnest(persona.traits) x from u where try_cast(regexp_extract(user_id, '([0-9]+)$', 1) as bigint) % 100 = 0)), s as (select user_id, chunk_id, sum(k.value) n from t join (select chunk_id, unnest(map_entries(concept_counts)) k from c) m on m.k.key = t.c group by all) select user_id, chunk_id, n, row_number() over (partition by user_id order by n desc, chunk_id) rank from s qualify rank <= 3")
+def srt08_pair_context(spark: SparkSession, d: str):
+    """For each query user the three chunks that speak most of their traits."""
+    u = users(spark, d, "persona").filter(F.regexp_extract("user_id", r"(\d+)$", 1).try_cast("long") % 100 == 0)
+    t = u.select("user_id", F.explode("persona.traits").alias("x")).select("user_id", F.col("x.id").alias("c")).distinct()
+    m = chunks(spark, d, "concept_counts").select("chunk_id", F.explode("concept_counts").alias("c", "k"))
+    return ranking.top_k(m.join(t, "c").groupBy("user_id", "chunk_id").agg(F.sum("k").alias("n")), ["user_id"], "n", "chunk_id", 3)
+
+
+@query(f"with {MESSAGES}, g as (select user_id, id, ts, intent, role, sum((intent in ('find_match', 'unmatch'))::int) over (partition by user_id order by ts, id) part from m where user_id is not null and ts is not null), l as (select user_id, max(part) part from g group by 1), h as (select g.*, row_number() over (partition by g.user_id order by ts, id) a, row_number() over (partition by g.user_id order by ts desc, id desc) z from g join l on l.user_id = g.user_id and coalesce(l.part, 0) = coalesce(g.part, 0)) select user_id, id, a pos from h where a = 1 or z <= 3")
+def win10_recent_history(spark: SparkSession, d: str):
+    """What a user said since the last intent that begins anew: the opener and the last three; the cut is one aggregate, not a sort of all."""
+    m = messages(spark, d, "intent").filter("user_id is not null and ts is not null").select("user_id", "id", "ts", "intent")
+    place = F.struct("ts", "id")
+    cut = m.filter("intent in ('find_match', 'unmatch')").groupBy("user_id").agg(F.max(place).alias("cut"))
+    since = m.join(cut, "user_id", "left").filter(F.col("cut").isNull() | (place >= F.col("cut"))).select("user_id", "id", "ts")
+    n = since.groupBy("user_id").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    last = since.withColumn("z", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("id")))).filter("z <= 3").join(n, "user_id").select("user_id", "id", (F.col("n") - F.col("z") + 1).alias("pos"))
+    opener = n.select("user_id", F.col("first.id").alias("id"), F.lit(1).cast("long").alias("pos"))
+    return last.unionByName(opener).distinct()
