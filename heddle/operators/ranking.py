@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from heddle.session import settle, small
 
+MOST_OFFSETS = 1_000_000  # rows of offsets (partitions and groups) that are sent to every task; beyond it they are joined
+
 
 def rank_by(df: DataFrame, group: Sequence[str], score: str, key: str, name: str = "rank") -> DataFrame:
     """1-based rank by falling score, then key."""
@@ -29,7 +31,7 @@ def rank_all(df: DataFrame, group: Sequence[str], score: str, key: str, name: st
     before = W.partitionBy(*group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select("__part", *group, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))  # at most partitions + groups rows
     inside = F.row_number().over(W.partitionBy("__part", *group).orderBy(F.desc(score), key))
-    ranks = ranged.withColumn(name, inside).join(offsets, ["__part", *group])  # its size decides whether it is broadcast
+    ranks = ranged.withColumn(name, inside).join(small(offsets, MOST_OFFSETS), ["__part", *group])
     return ranks.withColumn(name, (F.col(name) + F.col("__before")).cast("int")).select(*df.columns, name)
 
 
@@ -116,7 +118,7 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, wanted: Da
     before = W.partitionBy(*group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select("__part", *group, F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__before"))  # at most partitions + groups rows
     inside = F.sum("__n").over(W.partitionBy("__part", *group).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    upto = ranged.withColumn("__upto", inside).join(offsets, ["__part", *group]).withColumn("__upto", F.col("__upto") + F.col("__before"))
+    upto = ranged.withColumn("__upto", inside).join(small(offsets, MOST_OFFSETS), ["__part", *group]).withColumn("__upto", F.col("__upto") + F.col("__before"))
     met = upto.join(small(wanted, 100_000), list(group)).filter("pos > __upto - __n and pos <= __upto")
     return met.select(*group, "pos", value)
 
