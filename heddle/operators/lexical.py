@@ -2,7 +2,9 @@
 
 Only terms that some query has leave a row of the corpus: each row's terms are
 exploded against the queries' terms, which are broadcast while they are few,
-and counted per row. What is shuffled is the hits, not the corpus.
+and counted per row. What is shuffled is the hits, not the corpus. Scores are
+added up where a row's hits are: the queries' terms go to them, never the hits
+to the driver, whatever their Parquet files shrink to.
 """
 
 from __future__ import annotations
@@ -60,23 +62,47 @@ def term_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def _met_queries(h: Hits, asked: DataFrame) -> DataFrame:
+    """Hits with the rows of ``asked`` (query, term, ...) of their terms.
+
+    While ``asked`` is small it is sent to the hits, which lie by key: what is
+    summed by query and key needs no further shuffle. The hits themselves must
+    not be broadcast, though their files may seem small enough.
+    """
+    return h.met.repartition(h.key).hint("merge").join(small(settle(asked), MOST_TERMS), "term")
+
+
+def _bm25_part(h: Hits, k1: float, b: float) -> Column:
+    return idf(F.lit(h.n), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(h.mean_size)))
+
+
+def _frequencies(h: Hits) -> DataFrame:
+    """(term, df) of the queries' terms."""
+    return h.met.groupBy("term").agg(F.count("*").alias("df"))
+
+
 def bm25(h: Hits, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, key, score) of all rows that share a term with a query."""
-    frequency = h.met.groupBy("term").agg(F.count("*").alias("df"))
-    scored = h.met.join(h.asked.join(frequency, "term"), "term")
-    part = idf(F.lit(h.n), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(h.mean_size)))
-    return scored.groupBy(h.query, h.key).agg(F.round(F.sum(part), 6).alias("score"))
+    met = _met_queries(h, h.asked.join(_frequencies(h), "term"))
+    return met.groupBy(h.query, h.key).agg(F.round(F.sum(_bm25_part(h, k1, b)), 6).alias("score"))
+
+
+def scores(h: Hits, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query, key, score, overlap): what ``bm25`` and ``overlaps`` give, whose rows are the same, in one pass over the hits."""
+    n = h.asked.groupBy(h.query).agg(F.count("*").alias("n"))
+    met = _met_queries(h, h.asked.join(_frequencies(h), "term").join(n, h.query))
+    both = met.groupBy(h.query, h.key, "n").agg(F.round(F.sum(_bm25_part(h, k1, b)), 6).alias("score"), F.count("*").alias("hits"))
+    return both.select(h.query, h.key, "score", F.round(F.col("hits") / F.col("n"), 6).alias("overlap"))
 
 
 def self_scores(h: Hits, k1: float = 1.5) -> DataFrame:
     """(query, best): the score of a text of mean size that holds each of the query's terms once, to scale scores by."""
-    frequency = h.met.groupBy("term").agg(F.count("*").alias("df"))
-    known = h.asked.join(frequency, "term", "left").fillna(0, ["df"])
+    known = h.asked.join(_frequencies(h), "term", "left").fillna(0, ["df"])
     return known.groupBy(h.query).agg(F.round(F.sum(idf(F.lit(h.n), F.col("df"))), 6).alias("best"))
 
 
 def overlaps(h: Hits) -> DataFrame:
     """(query, key, score): the share of a query's distinct terms that a row has; only rows with a term in common."""
     n = h.asked.groupBy(h.query).agg(F.count("*").alias("n"))
-    met = h.met.join(h.asked.join(n, h.query), "term").groupBy(h.query, h.key, "n").agg(F.count("*").alias("hits"))
+    met = _met_queries(h, h.asked.join(n, h.query)).groupBy(h.query, h.key, "n").agg(F.count("*").alias("hits"))
     return met.select(h.query, h.key, F.round(F.col("hits") / F.col("n"), 6).alias("score"))

@@ -265,6 +265,13 @@ def _overlaps(spark, d):
     return lexical.overlaps(_hits(spark, d))
 
 
+def _two_lists(spark, d, k):
+    """(qid, list, chunk_id, score, rank): the first k by BM25 and by overlap, found in one pass; a few rows a question, written once."""
+    both = F.explode(F.array(F.struct(F.lit("bm25").alias("list"), "score"), F.struct(F.lit("overlap").alias("list"), F.col("overlap").alias("score")))).alias("x")
+    x = lexical.scores(_hits(spark, d)).select("qid", "chunk_id", both).select("qid", "x.list", "chunk_id", "x.score")
+    return settle(ranking.top_k(x, ["qid", "list"], "score", "chunk_id", k))
+
+
 @query(_L + "select term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) idf from fr, nn")
 def agg24_bm25_statistics(spark: SparkSession, d: str):
     """Document frequency and idf of every term."""
@@ -302,8 +309,8 @@ def win02_reciprocal_fusion(spark: SparkSession, d: str):
 @query(_L + _RANKED + ", u as (select qid, chunk_id, 1 l, r, 1.0 / (60 + r) s from ra where r <= 16 union all select qid, chunk_id, 2, r, 0.5 / (60 + r) from rb where r <= 16), f as (select qid, chunk_id, round(sum(s), 5) score, min(l * 1000 + r) first from u group by all) select qid, chunk_id, score, row_number() over (partition by qid order by score desc, first) rank from f qualify rank <= 8")
 def win03_weighted_fusion(spark: SparkSession, d: str):
     """Weighted reciprocal ranks of the first 16 of two lists: what a list lacks adds nothing, ties go to what was seen first."""
-    h = _hits(spark, d)
-    lists = [ranking.top_k(x, ["qid"], "score", "chunk_id", 16) for x in (lexical.bm25(h), lexical.overlaps(h))]
+    top = _two_lists(spark, d, 16)
+    lists = [top.filter(F.col("list") == n).drop("list") for n in ("bm25", "overlap")]
     return ranking.weighted_reciprocal_ranks(lists, [1.0, 0.5], ["qid"], "chunk_id", 8)
 
 
