@@ -188,9 +188,9 @@ def str44_plain_text(spark: SparkSession, d: str):
 @query(_L + ", a as (select qid, chunk_id, score from top where rank <= 5), b as (select qid, chunk_id, score from ov where score >= 0.2), u as (select * from a union all select * from b), f as (select qid, chunk_id, max(score) score from u group by all) select qid, count(*) n, sum(round(score * 1000000)::bigint)::bigint total from f group by 1")
 def set04_context_dedupe(spark: SparkSession, d: str):
     """Contexts of two searches, each passage once with its larger score."""
-    h = _hits(spark, d)
-    a = ranking.top_k(lexical.bm25(h), ["qid"], "score", "chunk_id", 5).select("qid", "chunk_id", "score")
-    u = a.unionByName(lexical.overlaps(h).filter("score >= 0.2")).groupBy("qid", "chunk_id").agg(F.max("score").alias("score"))
+    s = settle(lexical.scores(_hits(spark, d)))
+    a = ranking.top_k(s, ["qid"], "score", "chunk_id", 5).select("qid", "chunk_id", "score")
+    u = a.unionByName(s.filter("overlap >= 0.2").select("qid", "chunk_id", F.col("overlap").alias("score"))).groupBy("qid", "chunk_id").agg(F.max("score").alias("score"))
     return u.groupBy("qid").agg(F.count("*").alias("n"), F.sum(F.round(F.col("score") * 1000000).cast("long")).alias("total"))
 
 

@@ -3,9 +3,9 @@
 import pytest
 
 from heddle.operators import lexical
-from heddle.plans import further, knowledge
+from heddle.plans import answers, further, knowledge
 
-TWO_LISTS = {"win03_weighted_fusion": knowledge, "agg43_reranked_pool": further}
+TWO_LISTS = {"win03_weighted_fusion": knowledge, "agg43_reranked_pool": further, "set04_context_dedupe": answers}
 
 
 @pytest.fixture(scope="module")
