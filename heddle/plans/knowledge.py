@@ -369,8 +369,8 @@ def win05_deferred_refill(spark: SparkSession, d: str):
 @query(_L + ", tb as (select qid, chunk_id, row_number() over (partition by qid order by score desc, chunk_id) r from ov qualify r <= 10) select qid, chunk_id, 'bm25' only_in from top anti join tb using (qid, chunk_id) union all select qid, chunk_id, 'overlap' from tb anti join top using (qid, chunk_id)")
 def set12_disagreement(spark: SparkSession, d: str):
     """What one of two searches has among its ten best and the other has not."""
-    h = _hits(spark, d)
-    a, b = (ranking.top_k(x, ["qid"], "score", "chunk_id", 10).select("qid", "chunk_id") for x in (lexical.bm25(h), lexical.overlaps(h)))
+    top = _two_lists(spark, d, 10)
+    a, b = (top.filter(F.col("list") == n).select("qid", "chunk_id") for n in ("bm25", "overlap"))
     only = lambda x, y, n: x.exceptAll(y).withColumn("only_in", F.lit(n))
     return only(a, b, "bm25").unionByName(only(b, a, "overlap"))
 
