@@ -10,9 +10,10 @@ marks balance. What opens, closes and continues Thai sentences is learned from
 quotes (``fit_thai``), whose begins and ends are sentence boundaries; the
 others follow from their signs.
 
-Scale. Splitting is a map over rows. The Thai model is fitted once on a bounded
-sample of quotes (SAMPLE rows, the least hashes) and is a table of at most
-CELLS numbers per feature, which travels with the tasks.
+Scale. Splitting is a map over rows. The Thai model is fitted once on all
+distinct quotes: tasks split them and count what stands where, the counts are
+added up by a shuffle. The model has numbers for the CELLS most frequent
+features (4 x CELLS pieces of either kind), which travel with the tasks.
 
 Cases. Null and blank texts have no sentences. The last sentence always counts.
 Positions are code points from the start of the text as stored, with the
@@ -25,14 +26,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heddle.llm.common import delivered_once, table
+from heddle.llm.common import delivered_once, even, settle, table
+from heddle.operators.ranking import order_statistics
 
-SAMPLE, CELLS, ROUNDS = 12_000, 60_000, 3
+CELLS, ROUNDS, HELD = 60_000, 3, 200_000  # HELD: counts that a task keeps before it hands them on
 GRAM, EXPECTED = 6, 14.0  # letters of a piece of a stretch; times it must be expected at a boundary before its absence tells
 OPEN, CLOSE = "“„«「『（([‘", "”“»」』）)]’\"'"
 # fixed values: abbreviations that a sentence does not end with, and those it may end with
@@ -182,30 +184,75 @@ def _closing_grams(before: str, left: str) -> set[str]:
     return {t[i : i + GRAM] for i in range(max(1, len(t) - GRAM + 1))}
 
 
-def _bars(parts: list[list[str]]) -> dict[str, float]:
-    """Pieces of stretches that known first (last) stretches lack: log of found over expected, where below 0.
+def _count_pieces(p: list[str], everywhere: Counter, at: Counter) -> None:
+    """Pieces of a quote's stretches, by kind (first or last), and of those that do stand first (last)."""
+    for k, x in enumerate(p):
+        for kind, grams, edge in (("f", _opening_grams(x), k == 0), ("l", _closing_grams(p[k - 1] if k else "", x), k == len(p) - 1)):
+            everywhere.update(kind + g for g in grams)
+            if edge:
+                at.update(kind + g for g in grams)
+
+
+def _bar_of(n: int, at: int, top: float) -> float:
+    """Log of found over expected, where below 0.
 
     Expected is what a piece would have if its stretches stood first as often
     as those that always do (the upper tenth of the rates).
     """
+    expected = top * n
+    return max(-8.0, min(0.0, 1.5 * (math.log((at + 1) / (expected + 1)) + 1.2))) if expected >= EXPECTED else 0.0
+
+
+def _bars(everywhere: Counter, at: Counter) -> dict[str, float]:
+    """Pieces of stretches that known first (last) stretches lack."""
     out: dict[str, float] = {}
     for kind in "fl":
-        at, everywhere = Counter(), Counter()
-        for p in parts:
-            for k, x in enumerate(p):
-                grams = _opening_grams(x) if kind == "f" else _closing_grams(p[k - 1] if k else "", x)
-                everywhere.update(grams)
-                if k == (0 if kind == "f" else len(p) - 1):
-                    at.update(grams)
-        rates = sorted(at[g] / n for g, n in everywhere.items() if n >= 30 and at[g] >= 5)
+        own = {g: n for g, n in everywhere.items() if g[0] == kind}
+        rates = sorted(at[g] / n for g, n in own.items() if n >= 30 and at[g] >= 5)
         top = rates[int(0.9 * (len(rates) - 1))] if rates else 1.0
-        for g, n in everywhere.most_common(4 * CELLS):
-            expected = top * n
-            if expected >= EXPECTED and (v := math.log((at[g] + 1) / (expected + 1)) + 1.2) < 0:
-                out[kind + g] = max(-8.0, 1.5 * v)
+        bars = ((g, _bar_of(n, at[g], top)) for g, n in sorted(own.items(), key=lambda x: (-x[1], x[0]))[: 4 * CELLS])
+        out |= {g: v for g, v in bars if v < 0}
     return out
 
 
+def _stretches(quotes: Iterable[str]) -> list[list[str]]:
+    """The shapes of Thai quotes' stretches."""
+    parts = [[shape(x) for x in q.split()] for q in quotes if len(_THAI.findall(q)) > 0.4 * len(q)]
+    return [p for p in parts if p]
+
+
+def _first_model(bars: dict[str, float]) -> ThaiModel:
+    return ThaiModel(prior=1.0, mean=4.4, spread=0.8, bars=bars)
+
+
+def _count_split(p: list[str], model: ThaiModel, yes: Counter, no: Counter) -> None:
+    """Splits a quote and counts what stands around boundaries and around other gaps; at "z", the spans' letters."""
+    cuts = _viterbi(p, model)
+    begin = 0
+    for k in range(len(p)):
+        before = p[k - 1] if k else ""
+        if k < len(cuts) and not cuts[k]:
+            no.update(ThaiModel.features(before, p[k], p[k + 1], k == begin))
+            continue
+        if k < len(cuts):
+            yes.update(ThaiModel.features(before, p[k], p[k + 1], k == begin))
+        else:  # the end of the quote: only what stands before it is known
+            yes.update(f for f in ThaiModel.features(before, p[k], "", k == begin) if f[0] in "slw")
+        yes[f"z{sum(map(len, p[begin : k + 1]))}"] += 1
+        begin = k + 1
+    yes.update(("r5" + p[0][:5], "r12" + p[0][:12]))
+
+
+def _next_model(counts: list[tuple[str, int, int]], n_yes: int, n_no: int, letters: dict[int, int], bars: dict[str, float]) -> ThaiModel:
+    """From the most frequent features with their counts, the counts of all gaps, and how many spans have so many letters."""
+    n_yes, n_no = max(1, n_yes), max(1, n_no)
+    odds = {f: 0.4 * (math.log((a + 0.5) / (n_yes + 1)) - math.log((b + 0.5) / (n_no + 1))) * min(1.0, (a + b) / 5) for f, a, b in counts}
+    n = sum(letters.values())
+    mean = sum(c * math.log(z) for z, c in sorted(letters.items())) / n
+    spread = max(0.25, math.sqrt(sum(c * (math.log(z) - mean) ** 2 for z, c in sorted(letters.items())) / n))
+    return ThaiModel(odds, 0.5 + 0.5 * math.log(n_yes / n_no), mean, spread, bars)
+
+
 def fit_thai(quotes: list[str]) -> ThaiModel:
     """From quotes of whole sentences: their ends are known, the boundaries within are inferred.
 
@@ -213,39 +260,23 @@ def fit_thai(quotes: list[str]) -> ThaiModel:
     stretch after it that no quote opens with, or of the one before it that none
     closes with. Each round then splits the quotes with the odds so far and
     counts anew what stands around boundaries and around other gaps.
+    ``thai_model`` does the same over tasks.
     """
-    quotes = [q for q in quotes if len(_THAI.findall(q)) > 0.4 * len(q)]
-    parts = [[shape(x) for x in q.split()] for q in quotes]
-    parts = [p for p in parts if p]
+    parts = _stretches(quotes)
     if not parts:
         return ThaiModel()
-    model = ThaiModel(prior=1.0, mean=4.4, spread=0.8, bars=_bars(parts))
+    everywhere, at = Counter(), Counter()
+    for p in parts:
+        _count_pieces(p, everywhere, at)
+    model = _first_model(_bars(everywhere, at))
     for _ in range(ROUNDS + 1):
         yes, no = Counter(), Counter()
-        sizes = []
         for p in parts:
-            cuts = _viterbi(p, model)
-            begin = 0
-            for k in range(len(p)):
-                before = p[k - 1] if k else ""
-                if k < len(cuts) and not cuts[k]:
-                    no.update(ThaiModel.features(before, p[k], p[k + 1], k == begin))
-                    continue
-                if k < len(cuts):
-                    yes.update(ThaiModel.features(before, p[k], p[k + 1], k == begin))
-                else:  # the end of the quote: only what stands before it is known
-                    yes.update(f for f in ThaiModel.features(before, p[k], "", k == begin) if f[0] in "slw")
-                sizes.append(math.log(sum(map(len, p[begin : k + 1]))))
-                begin = k + 1
-            yes.update(("r5" + p[0][:5], "r12" + p[0][:12]))
-        n_yes, n_no = max(1, sum(yes[f] for f in yes if f.startswith("s3"))), max(1, sum(no[f] for f in no if f.startswith("s3")))
-        odds = {}
-        for f in [f for f, _ in (yes + no).most_common(CELLS)]:
-            a, b = yes[f], no[f]
-            odds[f] = 0.4 * (math.log((a + 0.5) / (n_yes + 1)) - math.log((b + 0.5) / (n_no + 1))) * min(1.0, (a + b) / 5)
-        mean = sum(sizes) / len(sizes)
-        spread = max(0.25, math.sqrt(sum((x - mean) ** 2 for x in sizes) / len(sizes)))
-        model = ThaiModel(odds, 0.5 + 0.5 * math.log(n_yes / n_no), mean, spread, model.bars)
+            _count_split(p, model, yes, no)
+        letters = {int(f[1:]): n for f, n in yes.items() if f[0] == "z"}
+        gaps = [sum(n for f, n in c.items() if f.startswith("s3")) for c in (yes, no)]
+        most = sorted((f for f in yes.keys() | no.keys() if f[0] != "z"), key=lambda f: (-yes[f] - no[f], f))[:CELLS]
+        model = _next_model([(f, yes[f], no[f]) for f in most], *gaps, letters, model.bars)
     return model
 
 
@@ -368,18 +399,52 @@ class _Flat(ThaiModel):
 _FLAT = _Flat()
 
 
-def thai_model(quotes: DataFrame, text: str) -> ThaiModel:
-    """Fitted on at most SAMPLE distinct quotes, those of the least hashes.
+def _counted(quotes: DataFrame, count: Callable[[list[str], Counter, Counter], None]) -> DataFrame:
+    """(f, a, b): what ``count`` puts into its two counters, over all quotes."""
 
-    A bound on the hash, from the number of quotes, picks about that many, so
-    no task sends the driver more than its share.
-    """
-    hashed = F.pmod(F.xxhash64("q"), F.lit(1 << 30))
-    thai = quotes.select(F.col(text).alias("q")).filter(F.col("q").rlike("[ก-๎]")).distinct()
-    n = thai.count()
-    bound = min(1 << 30, int((1 << 30) * (1.2 * SAMPLE + 100) / max(n, 1)))
-    rows = thai.select("q", hashed.alias("h")).filter(F.col("h") < bound).collect()
-    return fit_thai([r["q"] for r in sorted(rows, key=lambda r: (r["h"], r["q"]))[:SAMPLE]])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b = Counter(), Counter()
+
+        def given() -> pd.DataFrame:
+            keys = list(a.keys() | b.keys())
+            out = pd.DataFrame({"f": keys, "a": [a[k] for k in keys], "b": [b[k] for k in keys]})
+            a.clear()
+            b.clear()
+            return out.astype({"f": object, "a": "int64", "b": "int64"})
+
+        for batch in batches:
+            for p in _stretches(batch["q"]):
+                count(p, a, b)
+                if len(a) + len(b) > HELD:
+                    yield given()
+        yield given()
+
+    return settle(quotes.mapInPandas(run, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+
+
+def thai_model(quotes: DataFrame, text: str) -> ThaiModel:
+    """``fit_thai`` over all distinct quotes: counts are taken in tasks and added up; the model's own numbers reach the driver."""
+    thai = settle(even(quotes.select(F.col(text).alias("q")).filter(F.col("q").rlike("[ก-๎]")).distinct()))
+    pieces = _counted(thai, _count_pieces).withColumn("kind", F.substring("f", 1, 1))
+    rates = pieces.filter("a >= 30 and b >= 5").select("kind", (F.col("b") / F.col("a")).alias("rate"))
+    at = rates.groupBy("kind").agg((F.floor(0.9 * (F.count("*") - 1)) + 1).alias("pos"))
+    tops = {r["kind"]: r["rate"] for r in order_statistics(rates, ["kind"], "rate", at).select("kind", F.col("rate")).collect()}
+    bars: dict[str, float] = {}
+    for kind in "fl":
+        top = tops.get(kind, 1.0)
+        most = pieces.filter((F.col("kind") == kind) & (top * F.col("a") >= EXPECTED)).orderBy(F.desc("a"), "f").limit(4 * CELLS)
+        found = most.filter((F.col("b") + 1) / (top * F.col("a") + 1) < 0.31).collect()  # others have no bar
+        bars |= {r["f"]: v for r in found if (v := _bar_of(r["a"], r["b"], top)) < 0}
+    model = _first_model(bars)
+    for _ in range(ROUNDS + 1):
+        counts = _counted(thai, lambda p, a, b, m=model: _count_split(p, m, a, b))
+        letters = {int(r["f"][1:]): r["a"] for r in counts.filter("f like 'z%'").collect()}  # a row a length
+        if not letters:
+            return ThaiModel()
+        gaps = counts.filter("f like 's3%'").agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+        most = counts.filter("f not like 'z%'").orderBy(F.desc(F.col("a") + F.col("b")), "f").limit(CELLS).collect()
+        model = _next_model([tuple(r) for r in most], *gaps, letters, bars)
+    return model
 
 
 def split_sentences(df: DataFrame, key: str, text: str, model: ThaiModel) -> DataFrame:
